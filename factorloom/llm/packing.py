@@ -24,34 +24,90 @@ from .common import Staged, small_batches, worker_state
 
 CAPACITY = 2048
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Texts parts kept per worker; the cache is emptied when it is full.
-CACHE = 400_000
+#: Parts of texts kept per worker; the cache is emptied when it is full.
+CACHE = 1_500_000
+#: Signs that never join the letters before them in one token.
+SIGNS = ".,;:!?#$%&*()[]"
+WORD_END = "</w>"
 
 
-def encoder(path: str, cache_size: int = CACHE):
-    """Texts -> little-endian unsigned 32-bit ids. Parts between spaces are encoded once: no token and no
-    normalisation of this kind of vocabulary (word ends, white space dropped) reaches across a space."""
+class Encoder:
+    """Texts -> little-endian unsigned 32-bit ids, for vocabularies with word ends that drop white space.
 
-    def make():
-        from tokenizers import Tokenizer
-
-        return Tokenizer.from_file(path), {}
+    No token and no normalisation of such a vocabulary reaches across a space, so each part between spaces is
+    encoded once. A part of letters and signs is its word and its signs; new words are encoded many at once and told
+    apart by their word ends. Any other part goes to the tokenizer by itself.
+    """
 
-    tokenizer, cache = worker_state(f"encoder_{zlib.crc32(path.encode())}", make)
+    def __init__(self, path: str, cache_size: int = CACHE):
+        import os
 
-    def encode(texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        new = list({p for x in parts for p in x if p not in cache})
-        if len(cache) + len(new) > cache_size:
-            cache.clear()
-            new = list({p for x in parts for p in x})
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                cache[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([cache[p] for p in x]) for x in parts]
+        from tokenizers import Tokenizer
 
-    return encode
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        self.tokenizer, self.size = Tokenizer.from_file(path), cache_size
+        self.known: dict[str, bytes] = {}  # of parts; grows past the limit by one call at most
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
+
+    def _words(self, words: list[str]) -> None:
+        """Words of letters only."""
+        groups = [words[at : at + 1000] for at in range(0, len(words), 1000)]
+        for some, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) != len(some):  # a letter whose lower case is no single letter
+                self._parts(some)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(some, cut):
+                self.known[w] = raw[at:end]
+                at = end
+
+    def _parts(self, parts: list[str]) -> None:
+        for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+            self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        known, words, parts, made = self.known, [], [], []
+        for p in new:
+            if p.isalpha() and (p.isascii() or p.lower().isalpha()):  # a lower case with marks would join signs
+                words.append(p)
+                continue
+            core = p.rstrip(SIGNS)
+            if core != p and core.isalpha() and (core.isascii() or core.lower().isalpha()):
+                made.append((p, core, p[len(core) :]))
+            else:
+                parts.append(p)
+        if made:
+            words = list({*words, *(c for _, c, _ in made if c not in known)})
+            parts = list({*parts, *(s for *_, s in made if s not in known)})
+        self._words(words)
+        self._parts(parts)
+        for p, core, sign in made:
+            known[p] = known[core] + known[sign]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.size:
+            self.known.clear()
+        get = self.known.get
+        # Lower case first leaves fewer parts; not where the tokenizer would see other letters or a special token.
+        split = [(t if "\u03a3" in t or "<|" in t else t.lower()).split(" ") for t in texts]
+        found = [[*map(get, x)] for x in split]
+        gaps = [[i for i, v in enumerate(f) if v is None] if None in f else () for f in found]
+        new = {x[i] for x, g in zip(split, gaps) for i in g}
+        if new:
+            self._learn(new)
+            for x, f, g in zip(split, found, gaps):
+                for i in g:
+                    f[i] = get(x[i])
+        return [*map(b"".join, found)]
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, kept over its tasks."""
+    return worker_state(f"encoder_{zlib.crc32(path.encode())}", lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
