@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import base_queries, factor_queries, stat_queries
+
+PARTS = (base_queries, factor_queries, stat_queries)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {k: v for p in PARTS for k, v in p.QUERIES.items()}
 
 
 def oracles() -> dict:
-    return dict(ORACLES)
+    return {k: v for p in PARTS for k, v in p.ORACLES.items()}
