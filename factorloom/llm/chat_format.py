@@ -17,7 +17,7 @@ from .spans import let, running
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: The control strings of common templates, by what follows their first sign.
 CONTROL = r"<(?=\||s>|/s>|<SYS>>|</SYS>>|unk>|pad>)|\[(?=/?INST\]|/?TOOL_CALLS\]|/?AVAILABLE_TOOLS\])"
-TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+TOKEN = r"[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]"
 #: Tokens a turn's markers take.
 OVERHEAD = 4
 BUDGET = 2048
