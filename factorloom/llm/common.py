@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 FALLBACK_DIR = "/tmp/checkpoints/factorloom"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +40,10 @@ def conf(spark: SparkSession, **pairs: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of whole texts: so few rows that two batches of long texts fit a worker."""
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "16m") -> None:
+    """Arrow batches of whole texts: few rows and few bytes, so a worker holds two batches however long the texts are."""
     spark.conf.set(ARROW_ROWS, str(rows))
+    spark.conf.set(ARROW_BYTES, size)
 
 
 class Staged:

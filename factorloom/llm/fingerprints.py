@@ -7,6 +7,8 @@ So any run of WINDOW + K - 1 words that two texts share puts the same hash into
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +78,18 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both.cast("double") / F.when(union == 0, 1).otherwise(union))
 
 
+def _bucket_of(x: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at or below x, by two steps over about sqrt(cuts) numbers each."""
+    if not cuts:
+        return x * 0
+    size = math.isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    below = lambda some: F.size(F.filter(some, lambda c: c <= x))
+    coarse = below(F.lit([g[0] for g in groups]))
+    fine = let(coarse, lambda k: F.when(k == 0, 0).otherwise((k - 1) * size + below(F.get(F.array(*map(F.lit, groups)), k - 1))))
+    return F.when(x.isNotNull(), fine)
+
+
 def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], parts: int | None = None) -> DataFrame:
     """Adds next_<column>: the value in the row that follows by descending key, then tie; the first row's for the last one.
 
@@ -86,7 +100,7 @@ def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], parts: in
     n = 4 * (parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = rows.select(key)
     cuts = sorted(set(keys.approxQuantile(key, [i / n for i in range(1, n)], 0.25 / n)))  # n - 1 numbers
-    bucket = F.coalesce(F.size(F.filter(F.lit([int(c) for c in cuts]), lambda c: c <= F.col(key))) if cuts else F.col(key) * 0, F.lit(-1)).cast("int").alias("_bucket")
+    bucket = F.coalesce(_bucket_of(F.col(key), [int(c) for c in cuts]), F.lit(-1)).cast("int").alias("_bucket")
     tops = keys.groupBy(bucket).agg(F.max(key).alias("top")).orderBy(F.desc("_bucket")).collect()  # n + 1 rows at most
     after = {b._bucket: tops[(i + 1) % len(tops)]._bucket for i, b in enumerate(tops)}
     dealt = rows.withColumn("_bucket", bucket)
