@@ -19,23 +19,31 @@ WINDOW = 16  # a power of two: minima are taken over doubled spans
 PRIME = (1 << 31) - 1
 _BASE = 1_000_003
 _LAST = (1 << 31) - 1
-WORDS = r"[^\s]+"
+SPACE = r"[\x20\x09-\x0D]+"
+
+
+def word_hash(word: Column) -> Column:
+    """28 bits of the word's MD5."""
+    return F.conv(F.substring(F.md5(word.cast("binary")), 1, 7), 16, 10).cast("bigint")
 
 
 def gram_hashes(text: Column, k: int = K) -> Column:
-    """array<long>: hashes below 2**31 of all runs of k words; of all words where they are fewer; empty without words."""
-    powers = [pow(_BASE, k - 1 - j, PRIME) for j in range(k)]
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(PRIME >> 1))
+    """array<long>: hashes below PRIME of all runs of k words; one of all words where they are fewer; empty without words."""
+    words = F.filter(F.split(text, SPACE), lambda w: w != "")
+    power = [pow(_BASE, j, PRIME) for j in range(k)]
+
+    def term(h: Column, i, n: int) -> Column:
+        """The polynomial of n hashes from place i; products stay under 2**59, so each is reduced before the sum."""
+        return sum((F.get(h, i + j) * power[n - 1 - j] % PRIME for j in range(1, n)), F.get(h, i) * power[n - 1] % PRIME) % PRIME
 
     def roll(h: Column) -> Column:
         n = F.size(h)
-        short = F.array(F.xxhash64(h).bitwiseAND(PRIME >> 1))
-        # Products stay under 2**61, so each is reduced before the sum.
-        term = lambda i: sum((F.get(h, i + j) * powers[j] % PRIME for j in range(1, k)), F.get(h, i) * powers[0] % PRIME) % PRIME
-        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, short).otherwise(F.transform(F.sequence(F.lit(0), n - k), term))
+        out = F.when(n == 0, F.array().cast("array<bigint>"))
+        for m in range(1, k):
+            out = out.when(n == m, F.array(term(h, F.lit(0), m)))
+        return out.otherwise(F.transform(F.sequence(F.lit(0), n - k), lambda i: term(h, i, k)))
 
-    return let(hashed, roll)
+    return let(F.transform(words, word_hash), roll)
 
 
 def winnow(grams: Column, window: int = WINDOW) -> Column:

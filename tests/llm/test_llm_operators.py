@@ -440,16 +440,9 @@ def slow_winnow(t):
     ws = [w for w in re.split(r"[ \t\n\x0b\f\r]+", t or "") if w]
     if not ws:
         return []
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    hs = [signed(xxhash.xxh64_intdigest(w, 42)) & 0x3FFFFFFF for w in ws]
-    if len(hs) < fingerprints.K:
-        x = 42
-        for h in hs:
-            x = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), x)
-        g = [x & 0x3FFFFFFF]
-    else:
-        k = fingerprints.K
-        g = [sum(h * pow(1_000_003, k - 1 - j, 2**31 - 1) for j, h in enumerate(hs[i : i + k])) % (2**31 - 1) for i in range(len(hs) - k + 1)]
+    hs = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in ws]
+    k = min(len(hs), fingerprints.K)
+    g = [sum(h * pow(1_000_003, k - 1 - j, 2**31 - 1) for j, h in enumerate(hs[i : i + k])) % (2**31 - 1) for i in range(len(hs) - k + 1)]
     out, w = [], fingerprints.WINDOW
     for s in range(max(1, len(g) - w + 1)):
         _, i = min((h, -i) for i, h in enumerate(g[s : s + w], s))
