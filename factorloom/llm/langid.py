@@ -130,6 +130,10 @@ class Model:
     def __init__(self, classes: list[str], table: np.ndarray, heat: float):
         self.classes, self.table, self.heat = classes, np.ascontiguousarray(table.T, np.float32), heat
 
+    def parts(self) -> tuple:
+        """What a broadcast carries: plain values, so that workers need no import to read them."""
+        return self.classes, self.table.T, self.heat
+
     def logits(self, texts: list[str]) -> np.ndarray:
         codes, bounds = fold(texts)
         total, count = np.zeros((len(texts), len(self.classes))), np.zeros(len(texts))
@@ -197,10 +201,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     are scored each; an empty table gives no rows. Ties go to the first language in order of name. The score is
     the calibrated probability of lang_pred. Columns other than the id and the text are not read.
     """
-    given = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages
+    given = docs.sparkSession.sparkContext.broadcast(model.parts())  # BUCKETS x languages
 
     def run(batches):
-        m = given.value
+        m = Model(*given.value)
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
             known = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
@@ -220,15 +224,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def accept(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text has a letter and a language of probability least or more."""
-    given = docs.sparkSession.sparkContext.broadcast(model)
+    given = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches):
+        m = Model(*given.value)
         for b in batches:
             texts = [x or "" for x in b.column(text_col).to_pylist()]
             ok = [False] * len(texts)
             for at in range(0, len(texts), 50):
                 some = texts[at : at + 50]
-                for i, (t, s) in enumerate(zip(some, given.value.predict(some)[1]), at):
+                for i, (t, s) in enumerate(zip(some, m.predict(some)[1]), at):
                     ok[i] = bool(s >= least) and any(map(str.isalpha, t))
             yield b.filter(pa.array(ok, pa.bool_()))
 
