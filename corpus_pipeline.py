@@ -13,8 +13,9 @@ from factorloom.llm import decontaminate, langid, packing, secrets, simhash
 from factorloom.llm.common import Staged, table
 from factorloom.llm.queries import tokenizer_path
 
-#: Language ID rejects texts without a letter and those whose best language is less likely than this.
-LEAST_SCORE = 0.5
+#: Language ID rejects texts without a letter and those whose best language is less likely than this. Short notes and
+#: texts in two languages come near one half, so the bound is lower: what no language explains.
+LEAST_SCORE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
