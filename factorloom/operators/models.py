@@ -146,6 +146,12 @@ class Net:
         self.p |= {f"b{i}": np.zeros(b) for i, (_, b) in enumerate(size)} | {f"g{i}": np.ones(b) for i, (_, b) in enumerate(size[:2])} | {f"s{i}": np.zeros(b) for i, (_, b) in enumerate(size[:2])}
         self.mean, self.std = np.zeros(d), np.ones(d)
 
+    @staticmethod
+    def of(features: list[str], conf: dict, p: dict, mean: np.ndarray, std: np.ndarray) -> Net:
+        net = Net(features, NetConfig(**conf))
+        net.p, net.mean, net.std = p, mean, std
+        return net
+
     def forward(self, x: np.ndarray, rng: np.random.Generator | None = None) -> tuple[np.ndarray, list]:
         kept = []
         for i in range(2):
@@ -205,10 +211,10 @@ class Net:
         return self.train(rows[self.features].to_numpy(float), rows["_y"].to_numpy(float), rows["_w"].to_numpy(float))
 
     def transform(self, df: DataFrame, pred: str = "pred") -> DataFrame:
-        net = df.sparkSession.sparkContext.broadcast(self)  # a few thousand weights
+        given = df.sparkSession.sparkContext.broadcast((self.features, self.conf.__dict__, self.p, self.mean, self.std))  # a few thousand plain numbers
 
         def run(batches):
-            n = net.value
+            n = Net.of(*given.value)
             for pdf in batches:
                 x = pdf[n.features].to_numpy(float)
                 x = (np.where(np.isfinite(x), x, 0.0) - n.mean) / n.std

@@ -571,12 +571,42 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.withColumn("k", k).where("k = 1").select("symbol", frames.minute().alias("t"), r6(F.col("close"), "close"))
 
 
-@query("o12_feature_sets", f"{SCORES}, rk AS (SELECT *, row_number() OVER (ORDER BY effective DESC, abs_oos_ic DESC, abs_is_ic DESC, factor) AS k FROM sc) SELECT 'top2' AS feature_set, factor FROM rk WHERE k <= 2 UNION ALL SELECT 'effective', factor FROM rk WHERE effective UNION ALL SELECT 'top2_new', factor FROM rk WHERE k <= 2 UNION ALL SELECT 'top2_new', 'nf_x' UNION ALL SELECT 'effective_new', factor FROM rk WHERE effective UNION ALL SELECT 'effective_new', 'nf_x'")
+TOP = "SELECT *, row_number() OVER (ORDER BY abs_is_ic DESC, factor) AS k FROM"
+NEW = "(SELECT factor, abs_is_ic FROM sc UNION ALL SELECT 'nf_x', 0.9)"
+
+
+@query("o12_feature_sets", f"{SCORES}, o1 AS ({TOP} sc), n1 AS ({TOP} {NEW}) " + " UNION ALL ".join([
+    "SELECT 'orig_top2' AS feature_set, factor FROM o1 WHERE k <= 2", "SELECT 'orig_effective', factor FROM sc WHERE effective", "SELECT 'orig_all', factor FROM sc",
+    "SELECT 'new_top2', factor FROM n1 WHERE k <= 2", "SELECT 'new_effective', factor FROM sc WHERE effective", "SELECT 'new_effective', 'nf_x'", "SELECT 'new_all', factor FROM sc", "SELECT 'new_all', 'nf_x'",
+]))
 def feature_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = workflows.feature_sets(workflows.mine_factors(panel(spark, sf_dir, *STATS), STATS, CONF), [2], ["nf_x"])
+    scores = workflows.mine_factors(panel(spark, sf_dir, *STATS), STATS, CONF)
+    sets = workflows.feature_sets(scores, [2], STATS, spark.createDataFrame([("nf_x", 0.9)], "factor string, abs_is_ic double"))
     return spark.createDataFrame([(k, f) for k, v in sets.items() for f in v], "feature_set string, factor string")
 
 
+@query("k04_s23_ic_parts", f"{SUMS} SELECT month, factor, {ROUND_SUMS}, count FROM st WHERE {IS_WHERE}")
+def ic_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of half the range, then of all of it: the second call adds only what is missing."""
+    df, path = panel(spark, sf_dir, *STATS), store.scratch(spark, "parts")
+    workflows.ic_parts(df, STATS, path, "is", IS[0], "1996-12")
+    s = workflows.ic_parts(df, STATS, path, "is", *IS)
+    return s.select("month", "factor", *(r6(F.col(x), x, 5) for x in ("xy", "xx", "yy")), "count")
+
+
+EXPR_SCORES = f"{EXPR}, st AS ({sums('month', 'ex', list(OP_SQL))}), i AS ({merged('is_', IS_WHERE)}), o AS ({merged('oos_', OOS_WHERE)})"
+
+
+@query("a07_j03_expression_scores", f"{EXPR_SCORES} SELECT factor AS name, factor AS op, {q6('is_ic', 'is_ic')}, {q6('oos_ic', 'oos_ic')}, coalesce(sign(is_ic) = sign(oos_ic) AND abs(is_ic) >= 0.002 AND abs(oos_ic) >= 0.001 AND is_coverage_proxy >= 0.5 AND oos_coverage_proxy >= 0.5, false) AS effective FROM i JOIN o USING (factor)")
+def expression_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, path = _expr_frame(spark, sf_dir), store.scratch(spark, "expression-parts")
+    workflows.ic_parts(df, list(OP_SQL), path, "is", *IS)
+    workflows.ic_parts(df, list(OP_SQL), path, "oos", *OOS)
+    parts = spark.read.parquet(path).withColumn("prefix", F.col("prefix").cast("string"))
+    table = spark.createDataFrame([(op, op) for op in OP_SQL], "name string, op string")
+    return workflows.aggregate_expressions(parts, table).select("name", "op", r6(F.col("is_ic"), "is_ic"), r6(F.col("oos_ic"), "oos_ic"), "effective")
+
+
 # Store and stream.
 SPEC = store.FactorSpec.of(["mom_5", "tsz_mom_5", "csz_px_sma_6", "csr_cpos"])
 

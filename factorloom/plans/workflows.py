@@ -91,11 +91,41 @@ def baseline(panel: DataFrame, features: list[str], conf: Config, kinds: list[st
     return {"predictions": preds, "summary": summarize(preds, kinds), "backtest": bts}
 
 
-def feature_sets(scores: DataFrame, sizes: list[int], new: list[str] = ()) -> dict[str, list[str]]:
-    """The strongest factors of each size, the effective ones, and each again with new factors added once."""
-    ranked = scores.orderBy(F.desc("effective"), F.desc_nulls_last("abs_oos_ic"), F.desc_nulls_last("abs_is_ic"), "factor").select("factor", "effective").collect()  # a factor list
-    sets = {f"top{n}": [r.factor for r in ranked[:n]] for n in sizes} | {"effective": [r.factor for r in ranked if r.effective]}
-    return sets | ({f"{k}_new": list(dict.fromkeys([*v, *new])) for k, v in sets.items()} if new else {})
+def feature_sets(scores: DataFrame, sizes: list[int], everything: list[str], new: DataFrame | None = None) -> dict[str, list[str]]:
+    """orig_top<n> by |IC| in sample, orig_effective and orig_all; with new factors (factor, abs_is_ic) also new_top<n> of both
+    ranked together, and the other two with the new ones added once."""
+    pick = ["factor", "abs_is_ic"]
+    ranked = lambda df: [r.factor for r in df.orderBy(F.desc_nulls_last("abs_is_ic"), "factor").select("factor").collect()]  # noqa: E731  a factor list
+    effective = ranked(scores.where("effective"))
+    top = ranked(scores)
+    sets = {f"orig_top{n}": top[:n] for n in sizes} | {"orig_effective": effective, "orig_all": list(everything)}
+    if new is None:
+        return sets
+    both, names = ranked(scores.select(*pick).unionByName(new.select(*pick))), ranked(new)
+    return sets | {f"new_top{n}": both[:n] for n in sizes} | {"new_effective": list(dict.fromkeys(effective + names)), "new_all": list(dict.fromkeys([*everything, *names]))}
+
+
+def ic_parts(panel: DataFrame, names: list[str], path: str, prefix: str, start: str, end: str, force: bool = False) -> DataFrame:
+    """Monthly IC sums kept as a table by prefix and month: months that are there are read, the rest are added in one job."""
+    spark, rows = panel.sparkSession, panel.where(F.col("month").between(start, end))
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
+    schema = "factor string, xy double, xx double, yy double, count long, prefix string, month string"
+    have = spark.read.schema(schema).parquet(path).where(F.col("prefix") == prefix) if there else None
+    done = [] if have is None or force else [r.month for r in have.select("month").distinct().collect()]
+    todo = rows.where(~F.col("month").isin(done)) if done else rows
+    made = ic.sufficient_stats(todo, names).withColumn("prefix", F.lit(prefix)).select("factor", "xy", "xx", "yy", "count", "prefix", "month")
+    with_mode = made.write.option("partitionOverwriteMode", "dynamic").mode("overwrite")
+    with_mode.partitionBy("prefix", "month").parquet(path)
+    return spark.read.schema(schema).parquet(path).where((F.col("prefix") == prefix) & F.col("month").between(start, end))
+
+
+def aggregate_expressions(parts: DataFrame, candidates: DataFrame, min_is: float = 0.002, min_oos: float = 0.001, min_coverage: float = 0.5, top: int | None = None) -> DataFrame:
+    """Scores of expressions from parts with prefixes is and oos, with their formulas, best first."""
+    sides = [ic.merge_stats(parts.where(F.col("prefix") == p), f"{p}_") for p in ("is", "oos")]
+    scores = ic.effective_factors(*sides, min_is, min_oos, min_coverage, ordered=False).withColumnRenamed("factor", "name")
+    out = scores.join(candidates, "name", "left").orderBy(F.desc("effective"), F.desc_nulls_last("abs_is_ic"), "name")
+    return out.limit(top) if top else out
 
 
 def incremental(panel: DataFrame, sets: dict[str, list[str]], conf: Config, **kw) -> DataFrame:

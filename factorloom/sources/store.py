@@ -168,3 +168,33 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/factorloom"
     return f"{root.rstrip('/')}/factorloom-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def load_manifest(spark: SparkSession, path: str) -> list[dict]:
+    """The feature sets of a suite: a CSV with set and path at least."""
+    df = spark.read.csv(path, header=True)
+    if lost := {"set", "path"} - set(df.columns):
+        raise ValueError(f"the manifest lacks {sorted(lost)}")
+    return [r.asDict() for r in df.collect()]  # a list of files
+
+
+def load_ic_scores(spark: SparkSession, path: str) -> DataFrame:
+    """A score table with name, is_ic, oos_ic and what follows from them; factor is another word for name."""
+    df = spark.read.csv(path, header=True, inferSchema=False)
+    if "factor" in df.columns and "name" not in df.columns:
+        df = df.withColumnRenamed("factor", "name")
+    df = df.withColumns({c: F.expr(f"try_cast({c} as double)") if c in df.columns else F.lit(None).cast("double") for c in ("is_ic", "oos_ic")})
+    given = lambda c, made, kind: F.expr(f"try_cast({c} as {kind})") if c in df.columns else made
+    same = F.coalesce(F.signum("is_ic") == F.signum("oos_ic"), F.lit(False))
+    return df.withColumns({"same_sign": given("same_sign", same, "boolean"), "abs_is_ic": given("abs_is_ic", F.abs("is_ic"), "double"), "abs_oos_ic": given("abs_oos_ic", F.abs("oos_ic"), "double")})
+
+
+def load_backtests(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Backtest summaries written as JSON, one row a name; names without a file are left out."""
+    out = None
+    for name, path in paths.items():
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            one = spark.read.json(path).withColumn("name", F.lit(name))
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out if out is not None else spark.createDataFrame([], "name string")

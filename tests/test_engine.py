@@ -386,6 +386,41 @@ def test_store_and_files(spark, tmp_path):
     assert store.dependencies(["nf", "k"], [{"name": "nf", "op": "z_add", "left": "a", "right": "b"}]) == ["a", "b", "k"]
 
 
+def test_score_files(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("factor,is_ic,oos_ic\na,0.1,-0.2\nb,0.3,\n")
+    got = {r.name: r for r in store.load_ic_scores(spark, str(tmp_path / "s.csv")).collect()}
+    assert got["a"].same_sign is False and got["a"].abs_oos_ic == 0.2 and got["b"].oos_ic is None and got["b"].abs_is_ic == 0.3
+    (tmp_path / "m.csv").write_text("set,path\nall,x.txt\n")
+    assert store.load_manifest(spark, str(tmp_path / "m.csv")) == [{"set": "all", "path": "x.txt"}]
+    with pytest.raises(ValueError):
+        store.load_manifest(spark, str(tmp_path / "s.csv"))
+    (tmp_path / "b.json").write_text('{"rows": 3, "mean": 0.5}')
+    assert [tuple(r) for r in store.load_backtests(spark, {"r": str(tmp_path / "b.json"), "none": str(tmp_path / "x")}).select("name", "rows").collect()] == [("r", 3)]
+
+
+def test_commands(spark, tmp_path):
+    from factorloom import __main__ as cli
+
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for s, g in made(spark, 200, ("aa1", "bb2", "cc3", "dd4")).toPandas().groupby("symbol"):
+        g.assign(datetime=g.datetime.dt.strftime("%Y-%m-%d %H:%M")).drop(columns="symbol").to_csv(raw / f"{s}.csv", index=False)
+    (tmp_path / "c.json").write_text(json.dumps({"panel": str(tmp_path / "panel"), "output": str(tmp_path / "out"), "horizon": 5, "is_start": "2020-01", "is_end": "2020-01", "oos_start": "2020-01", "oos_end": "2020-01"}))
+    (tmp_path / "f.txt").write_text("mom_5\ncsr_cpos\ncsz_rv_5\n")
+    base = ["--config", str(tmp_path / "c.json"), "--factors", str(tmp_path / "f.txt")]
+    do = lambda *a: cli.run(spark, cli.parser().parse_args([*base, *a]))
+    assert do("build-partitions", "--raw", str(raw)) == {}
+    assert do("audit-data")["audit"].first().symbols == 4
+    assert do("mine-factors")["factor_scores"].count() == 3
+    got = do("run-all")
+    assert {"audit", "factor_scores", "baseline_summary", "baseline_backtest", "incremental"} <= set(got)
+    cli.main([*base, "audit-data"])
+    reports.write_predictions(got["baseline_predictions"], str(tmp_path / "p"))
+    assert do("backtest", "--predictions", str(tmp_path / "p"), "--pred-col", "pred")["backtest"].count() == 1
+    do("materialize-final", "--path", str(tmp_path / "final"))
+    assert spark.read.parquet(str(tmp_path / "final")).count() == 800
+
+
 def test_csv_bars(spark, tmp_path):
     (tmp_path / "RB1.csv").write_text("Date Time,OPEN,high,low,close,volume,Position\n2020-01-01 09:01:30,1,2,x,1.5,10,7\n2020-01-01 09:01:59,9,9,9,9,9,9\nbad,1,1,1,1,1,1\n2020-01-01 09:02:00,,2,1,1.5,2,\n")
     (tmp_path / "ZZ.csv").write_text("Date Time,OPEN,high,low,close,volume,Position\n2020-01-01 09:01:00,1,2,1,1.5,10,7\n")
