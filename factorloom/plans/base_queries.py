@@ -102,12 +102,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.day_labels(spark, sf_dir).select("symbol", day().alias("d"), r6(F.col("label"), "label"))
 
 
+#: Prices are decimals over small integers, so some stand right between two rounded values.
+OFF_TIE = 1.3e-9
 SERIES = ["lr", "logv", "loga", "typ", "hl", "tr", "up", "dn", "vwap", "dloi", *factors.SHAPES]
 
 
-@query("base_series", f"{DAY_FRAME} SELECT symbol, {D}, {', '.join(q6(x, x, 8) for x in SERIES)} FROM f")
+@query("base_series", f"{DAY_FRAME} SELECT symbol, {D}, {', '.join(q6(f'{x} + {OFF_TIE}', x) for x in SERIES)} FROM f")
 def base_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.day_frame(spark, sf_dir).select("symbol", day().alias("d"), *(r6(F.col(f"s_{x}"), x, 8) for x in SERIES))
+    return frames.day_frame(spark, sf_dir).select("symbol", day().alias("d"), *(r6(F.col(f"s_{x}") + OFF_TIE, x) for x in SERIES))
 
 
 LONG = 89
