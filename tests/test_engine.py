@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from factorloom.operators import backtest, expressions, factors, ic, linalg, mod
 from factorloom.plans import workflows
 from factorloom.sources import bars, reports, store
 
+DAY0 = datetime(2020, 1, 1)
+
 
 def made(spark, n=400, symbols=("A1", "b2", "C"), seed=1, gaps=True):
     """Bars of a few symbols, with gaps that end sessions."""
@@ -111,13 +114,15 @@ def test_every_factor_plans(frame):
     assert not any(out.agg(*checks).first())
 
 
-def test_one_exchange(frame):
-    plan = factors.add_factors(frame, ["mom_5", "sharpe_8", "bollz_10", "pvcorr_13"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") <= 1
+def test_one_exchange(spark):
+    """From bars to factors one exchange by symbol: sessions, labels, base series and all windows share it."""
+    df = factors.base_series(sessions.labels(sessions.sessions(made(spark, 50))))
+    plan = factors.add_factors(df, ["mom_5", "sharpe_8", "bollz_10", "pvcorr_13"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
 
 
 def test_constant_window(spark):
-    rows = [("A", pd.Timestamp("2020-01-01") + pd.Timedelta(minutes=i), *(5.0,) * 4, 1.0, 5.0, 1.0) for i in range(30)]
+    rows = [("A", DAY0 + timedelta(minutes=i), *(5.0,) * 4, 1.0, 5.0, 1.0) for i in range(30)]
     df = spark.createDataFrame(rows, bars_schema())
     out = factors.add_factors(factors.base_series(sessions.sessions(df)), ["skew_6", "kurt_6", "pvcorr_6", "bollz_6", "rsi_6"]).toPandas().iloc[-1]
     assert out.skew_6 == 0 and out.kurt_6 == -3 and math.isnan(out.pvcorr_6) and abs(out.bollz_6) < 1e-3 and out.rsi_6 == 0
@@ -128,8 +133,8 @@ def bars_schema():
 
 
 def test_nulls_and_zero_close(spark):
-    t = pd.Timestamp("2020-01-01")
-    rows = [("A", t + pd.Timedelta(minutes=i), None if i == 3 else 1.0, 2.0, 0.5, 0.0 if i == 5 else float("nan") if i == 7 else 1.5, None, None, None) for i in range(20)]
+    t = DAY0
+    rows = [("A", t + timedelta(minutes=i), None if i == 3 else 1.0, 2.0, 0.5, 0.0 if i == 5 else float("nan") if i == 7 else 1.5, None, None, None) for i in range(20)]
     df = factors.base_series(sessions.labels(sessions.sessions(spark.createDataFrame(rows, bars_schema())), 3, 3))
     names = ["mom_4", "roc_4", "bollz_4", "volz_4", "oiz_4", "mfi_4", "vwap_dev", "oi_chg", "px_sma_4"]
     out = factors.add_factors(df, names).select(*names, "label").toPandas()
@@ -162,8 +167,8 @@ def test_chunks_change_nothing(spark):
 
 
 def test_views_edges(spark):
-    t = pd.Timestamp("2020-01-01")
-    rows = [(t, "a", 1.0), (t, "b", 1.0), (t, "c", 3.0), (t, "d", None), (t + pd.Timedelta(days=1), "a", 7.0), (t + pd.Timedelta(days=2), "a", 2.0), (t + pd.Timedelta(days=2), "b", 2.0)]
+    t = DAY0
+    rows = [(t, "a", 1.0), (t, "b", 1.0), (t, "c", 3.0), (t, "d", None), (t + timedelta(days=1), "a", 7.0), (t + timedelta(days=2), "a", 2.0), (t + timedelta(days=2), "b", 2.0)]
     df = spark.createDataFrame(rows, "datetime timestamp_ntz, symbol string, x double")
     got = {(r.datetime.day, r.symbol): (r.z, r.r) for r in df.select("*", views.xzscore("x").alias("z"), views.xrank("x").alias("r")).collect()}
     assert got[(1, "a")][1] == got[(1, "b")][1] == pytest.approx(0) and got[(1, "c")][1] == 0.5 and got[(1, "d")] == (None, None)
@@ -173,16 +178,16 @@ def test_views_edges(spark):
 
 def test_regimes_like_qcut(spark):
     rng = random.Random(3)
-    t = pd.Timestamp("2020-01-01")
+    t = DAY0
     for n in (5, 32, 200):
-        rows = [("A", t + pd.Timedelta(minutes=i), 1.0, 2.0, 1.0, 1.5, float(rng.randrange(20)) if i % 9 else None, 1.0, 1.0) for i in range(n)]
+        rows = [("A", t + timedelta(minutes=i), 1.0, 2.0, 1.0, 1.5, float(rng.randrange(20)) if i % 9 else None, 1.0, 1.0) for i in range(n)]
         got = views.regimes(spark.createDataFrame(rows, bars_schema())).orderBy("datetime").toPandas()
         want = pd.qcut(pd.Series([r[6] for r in rows]).rank(method="first"), 3, labels=["low_liq", "mid_liq", "high_liq"]).astype(str)
         assert list(got.liquidity) == list(want)
 
 
 def test_gate_is_shut_for_missing(spark):
-    t = pd.Timestamp("2020-01-01")
+    t = DAY0
     df = spark.createDataFrame([(t, "a", 1.0, None), (t, "b", 2.0, 5.0), (t, "c", 3.0, 1.0)], "datetime timestamp_ntz, symbol string, x double, y double")
     e = expressions.make_expression("rank_gate_pos", "x", "y")
     got = {r.symbol: r[e["name"]] for r in expressions.evaluate(df, [e]).collect()}
@@ -209,7 +214,7 @@ def test_seeds_and_pairs(spark):
     rng = random.Random(5)
     rows = [(f"f{i}", rng.uniform(-1, 1), rng.uniform(-1, 1), rng.choice("abcd"), rng.choice(["raw", "csz"])) for i in range(60)]
     df = spark.createDataFrame(rows, "factor string, is_ic double, oos_ic double, family string, view string")
-    ordered = sorted(rows, key=lambda r: (-(np.sign(r[1]) == np.sign(r[2])), -abs(r[1]), r[0]))
+    ordered = sorted(rows, key=lambda r: (np.sign(r[1]) != np.sign(r[2]), -abs(r[1]), r[0]))
     want = relaxing([(r[0], f"{r[3]}:{r[4]}") for r in ordered], 25)
     got = [r.factor for r in expressions.seeds(df, 25).orderBy("place").collect()]
     assert got == want
@@ -233,7 +238,8 @@ def test_seeds_and_pairs(spark):
         if n >= 40:
             break
     assert out == list(dict.fromkeys(literal))[:40]
-    assert expressions.candidates(df, 6, 9).count() == 9 * len(expressions.OPS)
+    six = [(f, *info[f]) for f in (r.factor for r in expressions.seeds(df, 6).orderBy("place").collect())]
+    assert expressions.candidates(df, 6, 9).count() == len(expressions.pairs(six, 9)) * len(expressions.OPS)
 
 
 def test_stats_merge(spark, frame):
@@ -266,8 +272,8 @@ def test_ridge_and_leave_one_out(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 4))
     y = x @ [1.0, -0.5, 0.0, 0.2] + rng.normal(0, 0.5, 600)
-    t0 = pd.Timestamp("2020-01-01")
-    df = spark.createDataFrame([(t0 + pd.Timedelta(days=i // 6), f"s{i % 6}", *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "datetime timestamp_ntz, symbol string, a double, b double, c double, d double, label double")
+    t0 = DAY0
+    df = spark.createDataFrame([(t0 + timedelta(days=i // 6), f"s{i % 6}", *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "datetime timestamp_ntz, symbol string, a double, b double, c double, d double, label double")
     names = list("abcd")
     m = models.fit_ridge(df, names, 0.3)
     z = (x - x.mean(0)) / x.std(0)
@@ -354,7 +360,7 @@ def test_samples(spark, frame):
 
 
 def test_backtest_empty_and_small(spark):
-    t = pd.Timestamp("2020-01-01")
+    t = DAY0
     df = spark.createDataFrame([(t, float(i), float(i)) for i in range(5)], "datetime timestamp_ntz, pred double, label double")
     assert backtest.long_short(df, "pred").count() == 0
     one = backtest.long_short(views.prediction_views(df)).first()
