@@ -24,7 +24,7 @@ OPS: dict[str, tuple[str, Callable[[Column, Column], Column]]] = {
 #: The formula texts of an expression table.
 FORMULAS = {
     "rank_add": "xrank({0}) + xrank({1})", "rank_spread": "xrank({0}) - xrank({1})", "rank_product": "xrank({0}) * xrank({1})",
-    "rank_gate_pos": "xrank({0}) if xrank({1}) > 0 else 0", "rank_gate_neg": "xrank({0}) if xrank({1}) < 0 else 0",
+    "rank_gate_pos": "xrank({0}) * I[xrank({1}) > 0]", "rank_gate_neg": "xrank({0}) * I[xrank({1}) < 0]",
     "z_add": "xzscore({0}) + xzscore({1})", "z_spread": "xzscore({0}) - xzscore({1})", "z_product": "xzscore({0}) * xzscore({1})",
 }
 SCHEMA = "name string, op string, left string, right string, formula string"

@@ -459,7 +459,7 @@ RIDGE_PRED = "my + wa * (coalesce(mom_5, 0) - ma) / sa + wb * (coalesce(volz_6,
 
 @query("m02_m12_ridge_predict", f"{RIDGE} SELECT symbol, {D}, {q6(RIDGE_PRED, 'pred')} FROM panel, wt")
 def ridge_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = panel(spark, sf_dir, *RF)
+    df = panel(spark, sf_dir, *RF).persist()
     return df.select("symbol", day().alias("d"), r6(models.fit_ridge(df, RF, ALPHA).predict(), "pred"))
 
 
@@ -468,13 +468,13 @@ LOO = f"{RIDGE}, pr AS (SELECT datetime, label, {RIDGE_PRED} AS base, my + cb /
 
 @query("m09_leave_one_out", f"{LOO} SELECT CASE x.pred_col WHEN 'd0' THEN 'mom_5' ELSE 'volz_6' END AS factor, {q6('b.ic', 'base_ic')}, {q6('x.ic', 'drop_ic')} FROM i x, i b WHERE b.pred_col = 'base' AND x.pred_col <> 'base'")
 def loo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = panel(spark, sf_dir, *RF)
+    df = panel(spark, sf_dir, *RF).persist()
     return models.leave_one_out(df, models.fit_ridge(df, RF, ALPHA)).select("factor", r6(F.col("base_ic"), "base_ic"), r6(F.col("drop_ic"), "drop_ic"))
 
 
 @query("a30_k09_validation_summary", f"{LOO}, e AS (SELECT x.pred_col, b.ic - x.ic AS delta FROM i x, i b WHERE b.pred_col = 'base' AND x.pred_col <> 'base') SELECT 'ridge' AS model, count(*) AS factors, sum((delta > 0)::INT)::BIGINT AS retained, sum((delta <= 0)::INT)::BIGINT AS removed, sum((delta > 0 AND pred_col = 'd0')::INT)::BIGINT AS new_retained FROM e")
 def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = panel(spark, sf_dir, *RF)
+    df = panel(spark, sf_dir, *RF).persist()
     new = spark.createDataFrame([("mom_5",)], "factor string")
     return workflows.validation_summary(models.leave_one_out(df, models.fit_ridge(df, RF, ALPHA)), "ridge", new).select("model", "factors", "retained", "removed", "new_retained")
 
