@@ -116,8 +116,10 @@ def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], parts: in
     found = dealt.withColumn("_next", F.lead(F.struct(*columns)).over(Window.partitionBy("_bucket").orderBy(*order)))
     head = dealt.where(F.col(key).isin([b.top for b in tops if b.top is not None]) | F.col(key).isNull())
     head = head.groupBy("_bucket").agg(F.max_by(F.struct(*columns), tie).alias("_head"))
-    previous = spark.createDataFrame([(a, b) for b, a in after.items()], "_bucket int, _of int")
-    head = head.join(previous, "_bucket").select(F.col("_of").alias("_bucket"), "_head")
+    before = {a: b for b, a in after.items()}
+    if before:
+        closes = F.element_at(F.map_from_arrays(F.lit(list(before)), F.lit(list(before.values()))), F.col("_bucket"))
+        head = head.select(closes.alias("_bucket"), "_head")
     named = F.coalesce("_next", "_head")
     return found.join(head, "_bucket", "left").select(*rows.columns, *(named[c].alias(f"next_{c}") for c in columns))
 

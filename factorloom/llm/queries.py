@@ -22,9 +22,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+    said = "</s>[INST] ok [/INST]"
+    sample = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{said}'), (-1L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat_format.digests(chat_format.windows(turns.unionByName(spark.createDataFrame(sample, "conv_id long, turn long, role string, text string"))))
+    return chat_format.digests(chat_format.windows(turns.unionByName(sample)))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
