@@ -477,3 +477,22 @@ def test_winnow_guarantee():
         run = words(rng, n)
         a, b = (slow_winnow(" ".join(words(rng, 30) + run + words(rng, 30))) for _ in range(2))
         assert {h for h, _ in a} & {h for h, _ in b}
+
+
+def test_rows_without_id(spark, corpus):
+    """Each operator returns a row for a row without doc_id and does not let it disturb the others."""
+    some = [r for r in corpus[6:30]] + [(None, corpus[8][1]), (None, None), (None, corpus[8][1])]
+    df = spark.createDataFrame([(i, t, "en" if k % 2 else "de") for k, (i, t) in enumerate(some)], "doc_id long, text string, lang string").repartition(3)
+    named = df.where("doc_id is not null")
+    plain = {
+        "secrets": lambda d: secrets.digests(secrets.scan(d)), "pii": lambda d: pii.digests(pii.scan(d)), "dedup": substring_dedup.remove_repeats, "simhash": simhash.near_duplicates,
+        "packing": lambda d: packing.best_fit_pack(d, queries.tokenizer_path()).select("doc_id", "piece", "start", "length", "ids_crc32"), "fingerprints": lambda d: fingerprints.edited_fingerprints(d).select("doc_id", "fingerprint"),
+    }
+    for name, f in plain.items():
+        with_null, without = f(df).collect(), f(named).collect()
+        assert Counter(tuple(r) for r in with_null if r[0] is not None) == Counter(map(tuple, without)), name
+        assert sum(r[0] is None for r in with_null) == 3, name
+    model = langid.train(df)
+    assert sum(r.doc_id is None for r in langid.predict(df, model).collect()) == 3
+    only = df.where("doc_id is null")
+    assert fingerprints.edited_fingerprints(only).count() == simhash.near_duplicates(only).count() == substring_dedup.remove_repeats(only).count() == 3
