@@ -151,7 +151,8 @@ def residual_ic(frame: DataFrame, names: list[str], near: DataFrame, library: li
 
 def scorecard(sample: DataFrame, names: list[str], library: list[str]) -> DataFrame:
     """One row per candidate with all evidence. sample: rows of bars with label, candidates and library factors."""
-    frame = sample_frame(sample.persist()).persist()  # a bounded sample; regimes look at it more than once
+    need = dict.fromkeys(["symbol", "datetime", "label", "volume", "high", "low", "close", *names, *library])
+    frame = sample_frame(sample.select(*need).persist()).persist()  # a bounded sample; regimes look at it more than once
     rows = long(frame, names)
     near = closest(frame, names, library)
     parts = [coverage(rows), pearson_ic(rows), rank_ic(rows), turnover(rows), near, residual_ic(frame, names, near, library), monthly_ic(rows), grouped_ic(rows), buckets(rows)]
