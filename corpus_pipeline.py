@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import decontaminate, langid, packing, secrets, simhash
+from factorloom.llm import decontaminate, langid, near_copies, packing, secrets
 from factorloom.llm.common import Staged, table
 from factorloom.llm.queries import tokenizer_path
 
@@ -28,9 +28,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group; of rows that share that id, one. Rows without an id go."""
-    found = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Keeps the document of the smallest doc_id of each group of near copies: five-word shingles, likeness 0.8 or more.
+
+    Groups are exact (see near_copies). Of rows that share that id, one stays. Rows without an id go.
+    """
+    roots = near_copies.groups(docs)
+    keyed = docs.withColumn("_node", near_copies.text_key(F.col("text")))
+    least = keyed.groupBy("_node").agg(F.min("doc_id").alias("least"))
+    least = least.join(roots, least["_node"] == roots.node, "left").groupBy(F.coalesce("root", "_node")).agg(F.min("least").alias("doc_id"))
+    return docs.join(least.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

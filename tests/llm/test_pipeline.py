@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factorloom.llm import decontaminate, langid, queries
+from factorloom.llm import decontaminate, langid, near_copies, queries
 from test_llm_operators import SECRETS, classes, more_secrets, plain_spans, slow_fingerprint, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -62,6 +62,40 @@ def test_near_duplicates(spark, tables):
     assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == Counter(min(x) for x in best.values())
 
 
+def five(t):
+    w = (t or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("short", [8, 2])
+def test_near_copies_by_likeness(spark, monkeypatch, short):
+    """Edited copies at all likenesses around 0.8, chains and a large group: just what brute force over shingles links."""
+    monkeypatch.setattr(near_copies, "SHORT", short)
+    rng, texts = random.Random(5), []
+    for n in (3, 6, 12, 40, 120, 300):
+        base = words(rng, n)
+        for edits in (0, 1, 1, 2, 3, 5, 8):
+            w = list(base)
+            for i in rng.sample(range(n), min(edits, n)):
+                w[i] = f"new{rng.random()}"
+            texts.append(" ".join(w))
+    chain = words(rng, 100)
+    for k in range(12):
+        chain[k * 7] = f"step{k}"
+        texts.append(" ".join(chain))
+    texts += [texts[20].upper(), "  " + texts[20], "", None, " ", "a common line"] + ["a common line " + " ".join(words(rng, 5)) for _ in range(10)]
+    sets = [five(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    group = classes(range(len(sets)), near)
+    far = [(i, j) for i, j in near if (slow_fingerprint(texts[i]) ^ slow_fingerprint(texts[j])).bit_count() > 3]
+    assert far  # what three bits of three-word shingles do not link
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    firsts = {}
+    for i in range(len(sets)):
+        firsts.setdefault(group[i], i)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(firsts.values())
+
+
 def test_benchmark_free(spark, tables):
     path, rows, items = tables
     docs = spark.read.parquet(f"{path}/documents.parquet")
