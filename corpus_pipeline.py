@@ -28,15 +28,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near copies: five-word shingles, likeness 0.8 or more.
+    """Keeps one row of each group of near copies: five-word shingles, likeness 0.8 or more, exact (see near_copies).
 
-    Groups are exact (see near_copies). Of rows that share that id, one stays. Rows without an id go.
+    Groups are of rows, by their texts, so neither a repeated doc_id nor a missing one loses a text that has no copy.
+    The row of the smallest doc_id stays, one without an id only where no row of the group has one; ties go by the text.
     """
     roots = near_copies.groups(docs)
-    keyed = docs.withColumn("_node", near_copies.text_key(F.col("text")))
-    least = keyed.groupBy("_node").agg(F.min("doc_id").alias("least"))
-    least = least.join(roots, least["_node"] == roots.node, "left").groupBy(F.coalesce("root", "_node")).agg(F.min("least").alias("doc_id"))
-    return docs.join(least.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    keyed = docs.withColumn("_node", near_copies.text_key(F.col("text"))).withColumn("_none", F.col("doc_id").isNull())
+    least = keyed.groupBy("_node").agg(F.min(F.struct("_none", "doc_id")).alias("least"))
+    least = least.join(roots, least["_node"] == roots.node, "left").groupBy(F.coalesce("root", "_node").alias("root")).agg(F.min(F.struct("least._none", "least.doc_id", "_node")).alias("x"))
+    least = least.select("x._node", F.col("x._none").alias("_least_none"), F.col("x.doc_id").alias("_least"))
+    found = keyed.join(least, "_node").where(F.col("doc_id").eqNullSafe(F.col("_least")))
+    return found.dropDuplicates(["_node"]).select(docs.columns)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

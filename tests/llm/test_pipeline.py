@@ -96,6 +96,18 @@ def test_near_copies_by_likeness(spark, monkeypatch, short):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(firsts.values())
 
 
+def test_near_duplicates_by_row(spark):
+    """Rows without an id and rows that share one stay where their texts have no copy; of a group one row stays."""
+    rng = random.Random(8)
+    t = [" ".join(words(rng, 60)) for _ in range(8)]
+    rows = [(3, t[0]), (5, t[0] + " more"), (5, t[1]), (5, t[1]), (5, t[2]), (None, t[3]), (None, t[4]), (None, t[4] + " more"), (None, t[0]), (None, t[5]), (9, t[5]), (7, t[6]), (7, t[6] + " more"), (None, None)]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], SCHEMA).repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    fixed = {(3, t[0]): 1, (5, t[1]): 1, (5, t[2]): 1, (None, t[3]): 1, (9, t[5]): 1, (None, None): 1}
+    either = [{(None, t[4]), (None, t[4] + " more")}, {(7, t[6]), (7, t[6] + " more")}]
+    assert all(got[k] == n for k, n in fixed.items()) and all(sum(got[k] for k in x) == 1 for x in either) and sum(got.values()) == 8
+
+
 def test_benchmark_free(spark, tables):
     path, rows, items = tables
     docs = spark.read.parquet(f"{path}/documents.parquet")
