@@ -1,7 +1,9 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Fixed patterns give the base spans. Wider patterns propose further candidates, and labelers vote on every
-candidate, base ones included: strict patterns, gazetteers of prefixes and domains, and words around it.
+Fixed patterns give the base spans. Further candidates are spelled-out addresses, numbers without a country code, and
+well-formed cards and phones that stand inside a longer run of digits which fails as a whole (two cards side by side, a
+phone before a card). Labelers vote on every candidate, base ones included: strict tests of its own signs, gazetteers
+of network prefixes, calling codes, domains and reserved networks, and the words and numbers around it.
 Expectation-maximisation over the table of vote patterns estimates each labeler's reliability and the
 share of true spans; the posteriors train a logistic classifier on features of the span, whose verdict
 adds candidates to the base. Votes and features are small, so both tables are bounded whatever the
@@ -31,17 +33,33 @@ LOOSE = {
     "email": r"[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]++(?:\x20?(?:\[dot\]|\(dot\)|\.)\x20?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+.-])(?<!\+[0-9]\x20)(?<!\+[0-9]{2}\x20)(?<!\+[0-9]{3}\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
 }
-#: Gazetteers and words around a span. Fixed values, as text.
-DOMAINS = r"(?i)\.(?:com|net|org|edu|gov|info|io|de|fr|es|uk|eu|us)$"
-NETWORKS = r"^(?:4|5[1-5]|2[2-7]|3[4-7]|6(?:011|5|2))"
-AREAS = r"^\+?1?[^0-9]*[2-9][0-9]{2}"
+#: Well-formed spans inside a base match that fails as a whole.
+INNER = {
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])",
+    "phone": r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{4}(?![0-9])",
+}
+#: Gazetteers. Fixed values, as text: top-level domains by language of the corpus and use, card networks with their
+#: lengths, calling codes by zone, networks that belong to nobody.
+DOMAINS = (
+    r"(?i)\.(?:com|net|org|edu|gov|mil|int|info|biz|name|io|co|ai|app|dev|me|tv|eu|us|uk|ie|ca|au|nz|de|at|ch|li|lu|be|nl|fr|es|pt|it|mx|ar|cl|pe|uy|ve|br|"
+    r"pl|cz|sk|hu|ro|bg|gr|tr|ru|ua|se|no|dk|fi|is|ee|lv|lt|jp|cn|kr|tw|hk|sg|in|id|my|th|vn|ph|za|ng|ke|eg|ma|dz|tn|il|ae|sa|ir)$"
+)
+NETWORKS = (
+    r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|(?:222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}|3[47][0-9]{13}|(?:30[0-5]|36[0-9]|38[0-9])[0-9]{11}|"
+    r"(?:6011|64[4-9][0-9]|65[0-9]{2})[0-9]{12}|35(?:2[89]|[3-8][0-9])[0-9]{12}|62[0-9]{14,17})$"
+)
+CALLING = r"^\+(?:1[^0-9]?\(?[2-9]|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})|^\(?[2-9][0-9]{2}"
+RESERVED = r"^0*(?:0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|^0*169\.0*254\.|^0*172\.0*(?:1[6-9]|2[0-9]|3[01])\.|^0*192\.0*168\.|\.0[0-9]|^0[0-9]|^[0-9]\.[0-9]\.[0-9]\.[0-9]$"
+#: Words before a span, for and against it. Fixed values.
 CUES = {
     "email": r"(?i)(?:e-?mail|mail|contact|write|reach|address|correo|courriel)[^\n]{0,24}$",
     "ip": r"(?i)(?:\bip\b|address|host|server|login|client|adresse)[^\n]{0,24}$",
     "card": r"(?i)(?:card|visa|master|amex|credit|payment|carte|tarjeta|karte)[^\n]{0,24}$",
     "phone": r"(?i)(?:phone|tel|call|mobile|cell|fax|whatsapp|contact|telefon|teléfono|téléphone)[^\n]{0,24}$",
 }
-AGAINST = r"(?i)(?:version|isbn|order|invoice|article|build|release|serial|sku|part no|id)\b[^\n]{0,12}$"
+AGAINST = r"(?i)(?:version|isbn|order|invoice|article|build|release|serial|sku|part no|\bid)\b[^\n]{0,12}$"
+#: What personal data stand beside each other: another address or long number. A span that touches letters is part of a longer code.
+BESIDE = r"@[A-Za-z0-9-]+\.|[0-9][0-9().\x20-]{6,}[0-9]"
 AROUND = 40
 LABELERS = ["strict", "gazetteer", "cue", "against"]
 FEATURES = ["bias", "strict", "gazetteer", "cue", "against", "separated", "long", *(f"is_{k}" for k in KINDS[1:])]
@@ -81,30 +99,52 @@ def base_test(kind: str, match: Column) -> Column:
 CANDIDATE = "struct<start:int,rank:int,end:int,base:boolean,strict:int,gazetteer:int,cue:int,against:int,separated:int,long:int>"
 
 
-def describe(text: Column, kind: str, rank: int, x: Column, base: Column) -> Column:
+def describe(text: Column, kind: str, rank: int, x: Column, base: Column, strict: Column) -> Column:
     """A candidate with its votes (1 for, -1 against, 0 none) and features."""
-    before = F.substr(text, F.greatest(x["start"] - AROUND, F.lit(0)) + 1, F.least(x["start"], F.lit(AROUND)))
-    m = x["match"]
-    known = {"email": F.regexp_replace(m, r"(?i)\x20?[\[(]dot[\])]\x20?", ".").rlike(DOMAINS), "ip": ~m.rlike(r"^0|\.0[0-9]|^[0-9]\.[0-9]\.[0-9]\.[0-9]$"), "card": digits(m).rlike(NETWORKS), "phone": m.rlike(AREAS)}[kind]
+    m, begin = x["match"], F.greatest(x["start"] - AROUND, F.lit(0))
+    known = {
+        "email": F.when(F.regexp_replace(m, r"(?i)\x20?[\[(]dot[\])]\x20?", ".").rlike(DOMAINS), 1).otherwise(-1), "ip": F.when(m.rlike(RESERVED), -1).otherwise(1),
+        "card": F.when(digits(m).rlike(NETWORKS), 1).otherwise(-1), "phone": F.when(m.rlike(CALLING), 1).otherwise(-1),
+    }[kind]
     one = lambda c: F.when(c, 1).otherwise(0)
-    return F.struct(
-        x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), base.alias("base"),
-        F.when(base, 1).otherwise(-1 if kind in ("ip", "card") else 0).alias("strict"), F.when(known, 1).otherwise(-1).alias("gazetteer"),
-        one(before.rlike(CUES[kind])).alias("cue"), (-one(before.rlike(AGAINST))).alias("against"),
-        one(m.rlike(r"[\x20().-]")).alias("separated"), one(F.char_length(m) >= 16).alias("long"),
-    )
+
+    def votes(around: Column) -> Column:
+        before, after = F.substr(around, F.lit(1), x["start"] - begin), F.substr(around, x["end"] - begin + 1)
+        cue = before.rlike(CUES[kind]) | before.rlike(BESIDE) | after.rlike(BESIDE)
+        against = before.rlike(AGAINST) | before.rlike("[A-Za-z_#]$") | after.rlike("^[A-Za-z_]")
+        return F.struct(
+            x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), base.alias("base"), strict.alias("strict"), known.alias("gazetteer"),
+            one(cue).alias("cue"), (-one(against)).alias("against"), one(m.rlike(r"[\x20().-]")).alias("separated"), one(F.char_length(m) >= 16).alias("long"),
+        )
+
+    return let(F.substr(text, begin + 1, x["end"] - begin + AROUND), votes)
 
 
 def candidates(text: Column) -> Column:
     """Candidates of all kinds, not yet in order. Numbers of too few digits are no proposals."""
+    sure = lambda ok: F.when(ok, 1).otherwise(-1)
 
     def strict(kind: str, rank: int, pattern: str, least: int) -> Column:
         found = matches(text, pattern)
         found = F.filter(found, lambda x: F.length(digits(x["match"])) >= least) if least else found
-        return F.transform(found, lambda x: describe(text, kind, rank, x, base_test(kind, x["match"])))
+
+        def both(found: Column) -> Column:
+            whole = F.transform(found, lambda x: let(base_test(kind, x["match"]), lambda ok: describe(text, kind, rank, x, ok, sure(ok))))
+            return F.concat(whole, inner(kind, rank, F.filter(found, lambda x: ~base_test(kind, x["match"])))) if kind in INNER else whole
+
+        return let(found, both)
+
+    def inner(kind: str, rank: int, failed: Column) -> Column:
+        """Shorter spans in the failed ones, but for those that are the whole."""
+
+        def shifted(x: Column) -> Column:
+            some = F.filter(matches(x["match"], INNER[kind]), lambda y: F.char_length(y["match"]) < F.char_length(x["match"]))
+            return F.transform(some, lambda y: F.struct((x["start"] + y["start"]).alias("start"), (x["start"] + y["end"]).alias("end"), y["match"].alias("match")))
+
+        return F.transform(F.flatten(F.transform(failed, shifted)), lambda y: describe(text, kind, rank, y, F.lit(False), sure(base_test(kind, y["match"]))))
 
     def loose(kind: str) -> Column:
-        return F.transform(matches(text, LOOSE[kind]), lambda x: describe(text, kind, KINDS.index(kind), x, F.lit(False)))
+        return F.transform(matches(text, LOOSE[kind]), lambda x: describe(text, kind, KINDS.index(kind), x, F.lit(False), F.lit(0)))
 
     patterns = (("email", EMAIL, 0), ("ip", IP, 0), ("card", CARD, 12), ("phone", PHONE, 9))
     kinds = [*(strict(kind, rank, p, least) for rank, (kind, p, least) in enumerate(patterns)), *map(loose, LOOSE)]
