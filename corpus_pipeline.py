@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from factorloom.llm import decontaminate, langid, near_copies, packing, secrets
 from factorloom.llm.common import Staged, table
 from factorloom.llm.queries import tokenizer_path
+from factorloom.llm.spans import let
 
 #: Language ID rejects texts without a letter and those whose best language is less likely than this. Short notes and
 #: texts in two languages come near one half, so the bound is lower: what no language explains.
@@ -31,15 +32,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one row of each group of near copies: five-word shingles, likeness 0.8 or more, exact (see near_copies).
 
     Groups are of rows, by their texts, so neither a repeated doc_id nor a missing one loses a text that has no copy.
-    The row of the smallest doc_id stays, one without an id only where no row of the group has one; ties go by the text.
+    The row of the smallest doc_id stays, one without an id only where no row of the group has one; ties go by hashes of
+    the text, then of the whole row. Null and empty texts are one group.
     """
     roots = near_copies.groups(docs)
-    keyed = docs.withColumn("_node", near_copies.text_key(F.col("text"))).withColumn("_none", F.col("doc_id").isNull())
-    least = keyed.groupBy("_node").agg(F.min(F.struct("_none", "doc_id")).alias("least"))
-    least = least.join(roots, least["_node"] == roots.node, "left").groupBy(F.coalesce("root", "_node").alias("root")).agg(F.min(F.struct("least._none", "least.doc_id", "_node")).alias("x"))
-    least = least.select("x._node", F.col("x._none").alias("_least_none"), F.col("x.doc_id").alias("_least"))
-    found = keyed.join(least, "_node").where(F.col("doc_id").eqNullSafe(F.col("_least")))
-    return found.dropDuplicates(["_node"]).select(docs.columns)
+    node, place = near_copies.text_key(F.col("text")).alias("node"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
+    grouped = roots.union(roots.select("root", "root").distinct())
+    firsts = docs.select(node, place.alias("place")).groupBy("node").agg(F.min("place").alias("place"))
+    best = firsts.join(grouped, "node").groupBy("root").agg(F.min(F.struct("place", "node")).alias("x")).select("x.node")
+    others = grouped.select("node").join(best, "node", "left_anti")
+    rows = docs.select(node, F.struct(place, F.xxhash64(*docs.columns)).alias("place"), F.struct(*docs.columns).alias("row"))
+    return rows.groupBy("node").agg(F.min_by("row", "place").alias("row")).join(others, "node", "left_anti").select("row.*")
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +52,11 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret in the text by a mark; all documents stay, n_chars follows the text."""
-    found = F.array_sort(F.concat("_scan.assign", "_scan.access", "_scan.hex", "_scan.entropy"))
-    scanned = docs.withColumn("_scan", secrets.found(F.coalesce(F.col("text"), F.lit(""))))
-    changed = scanned.withColumn("text", secrets.redact(F.col("text"), found))
+    def marked(text):
+        return let(secrets.found(text), lambda x: secrets.redact(text, F.array_sort(F.concat(x["assign"], x["access"], x["hex"], x["entropy"]))))
+
+    text = F.when(F.col("text").isNotNull(), let(F.coalesce(F.col("text"), F.lit("")), marked))
+    changed = docs.withColumn("text", text)
     return changed.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.lit(0).cast("long"))).select(docs.columns)
 
 

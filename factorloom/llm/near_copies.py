@@ -1,9 +1,12 @@
-"""Near copies by exact similarity: all pairs of texts whose sets of five-word shingles have Jaccard likeness 0.8 or more.
+"""Near-duplicate groups by exact similarity, as the pipeline takes them: all pairs of texts whose sets of five-word
+shingles have Jaccard likeness 0.8 or more.
 
-Texts of n shingles that reach the likeness share one of their n - ceil(0.8 n) + 1 rarest (prefix filter; any order that
+The index of simhash.py proposes pairs, by fingerprints of five-word shingles. Three bits of 64 are too few for likeness 0.8,
+though, where about ten bits differ, and no number of shared bytes is sure at ten bits. So a prefix filter adds the rest:
+texts of n shingles that reach the likeness share one of their n - ceil(0.8 n) + 1 rarest (any order that
 is the same for all texts will do). Shingles are counted over all rows, by 32 bits within a part: a collision costs a look.
 A text keeps an entry only for those of its rarest shingles that a second row has, so most texts have none. Entries of
-one shingle make a list; pairs of a list are verified on their whole sets, and only verified pairs are links.
+one shingle make a list; pairs, of the index or a list, are verified on their whole sets, and only verified pairs are links.
 
 A large group of near copies would give all its pairs. So long lists first link their members with a few leaders, the
 same ones over all lists; then only pairs whose members are still apart are verified, whatever the length of the list.
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Staged, small_batches
-from .simhash import components
+from .simhash import components, links, majority
 
 SEED = 42
 SHINGLE = 5
@@ -164,9 +167,20 @@ def verified(found: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(batches):
+    """node, grams, fp: the shingles of each text and their fingerprint."""
     for b in batches:
-        grams = [shingles(x).view(np.int64) for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["node", "grams"])
+        grams = [shingles(x) for x in b.column(1).to_pylist()]
+        fp = np.array([majority(g.astype(">u8").view(np.uint8)) for g in grams], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64())), pa.array(fp)], names=["node", "grams", "fp"])
+
+
+def proposed(sets: DataFrame, staged: Staged) -> DataFrame:
+    """Pairs a > b of one node for each fingerprint, as the index of fingerprints links them, and of all with an equal one."""
+    firsts = sets.groupBy("fp").agg(F.min("node").alias("first"))
+    equal = sets.join(firsts, "fp").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    of = lambda x: firsts.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}"))
+    linked = links(firsts.select("fp"), staged=staged).join(of("a"), "a").join(of("b"), "b")
+    return equal.union(linked.select(F.greatest("first_a", "first_b"), F.least("first_a", "first_b")))
 
 
 def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -176,18 +190,22 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
     posts = staged.put(entries(texts.select("node", F.col("text").cast("binary").alias("raw"))), "posts")
     many = posts.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
     lists = staged.put(posts.join(many, "key"), "lists")
+    staged.drop("posts")
     needed = lists.select("node").distinct()
     one = texts.groupBy("node").agg(F.first("text").alias("text")).join(needed, "node", "left_semi")
     small_batches(docs.sparkSession)
-    sets = staged.put(one.select("node", F.col("text").cast("binary").alias("raw")).mapInArrow(_sets, "node long, grams array<long>"), "sets")
+    sets = staged.put(one.select("node", F.col("text").cast("binary").alias("raw")).mapInArrow(_sets, "node long, grams array<long>, fp long"), "sets")
 
-    tried = staged.put(pairs(lists.withColumn("group", F.col("node")), whole=False), "tried")
-    links = staged.put(verified(tried, sets), "links")
-    roots = staged.put(components(links, staged), "roots")
+    found = pairs(lists.withColumn("group", F.col("node")), whole=False)
+    tried = staged.put(proposed(sets.select("node", "fp"), staged).union(found).distinct(), "tried")
+    linked = staged.put(verified(tried, sets), "links")
+    roots = staged.put(components(linked, staged), "roots")
     grouped = staged.put(lists.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("group")), "grouped")
     apart = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.count("*").alias("m")).where(f"x <> y AND m > {SHORT}").select("key")
     rest = staged.put(pairs(grouped.join(apart, "key"), whole=True).join(tried, ["a", "b"], "left_anti"), "rest")
     more = staged.put(verified(rest, sets), "more")
-    if more.isEmpty():
-        return roots
-    return staged.put(components(links.union(more), staged), "all_roots")
+    if not more.isEmpty():
+        roots = staged.put(components(linked.union(more), staged), "all_roots")
+    for name in ("lists", "sets", "tried", "tallied", "grouped", "rest"):
+        staged.drop(name)
+    return roots

@@ -243,6 +243,27 @@ def test_simhash(docs, corpus, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_simhash_cover():
+    quads = simhash.cover()
+    assert len(quads) == 14 and all(any(set(q) <= set(c) for q in quads) for c in itertools.combinations(range(8), 5))
+    assert all(len(c) == 3 for c in simhash.cover(3)) and simhash.mask_of((7,)) < 0 < simhash.mask_of((0, 1))
+
+
+def test_simhash_without_ids(spark):
+    """A row without an id joins others by its fingerprint and can stand between them."""
+    t = [" ".join(words(random.Random(1), 400))]
+    while len(t) < 3:
+        w = t[-1].split()
+        for k in range(len(w)):
+            x = " ".join([*w[:k], "changed", *w[k + 1 :]])
+            if all((slow_fingerprint(x) ^ slow_fingerprint(y)).bit_count() > 3 * (y != t[-1]) for y in t) and 0 < (slow_fingerprint(x) ^ slow_fingerprint(t[-1])).bit_count() <= 3:
+                break
+        t.append(x)
+    df = spark.createDataFrame([(4, t[0]), (None, t[1]), (9, t[2]), (None, "alone")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()}
+    assert got == {(4, 4), (None, 4), (9, 4), (None, None)}
+
+
 def test_simhash_links(spark, monkeypatch):
     rng = random.Random(9)
     fps = {rng.getrandbits(64) for _ in range(300)}
@@ -254,12 +275,18 @@ def test_simhash_links(spark, monkeypatch):
     fps |= {center ^ sum(1 << b for b in rng.sample(range(24), rng.randrange(9))) for _ in range(150)}
     fps = sorted(fps)
     want = classes(range(len(fps)), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
-    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in enumerate(fps)], "fp long, rep long")
-    edges = simhash.links(nodes)
     from factorloom.llm.common import Staged
 
-    roots = {r.node: r.root for r in simhash.components(edges, Staged(spark, "test")).collect()}
-    assert {i: roots.get(i, i) for i in range(len(fps))} == want
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    nodes, of = spark.createDataFrame([(f,) for f in signed], "fp long"), {f: i for i, f in enumerate(signed)}
+    for long, short in ((simhash.LONG, simhash.SHORT), (20, 4)):  # the second deals lists out again
+        monkeypatch.setattr(simhash, "LONG", long)
+        monkeypatch.setattr(simhash, "SHORT", short)
+        roots = {of[r.node]: of[r.root] for r in simhash.components(simhash.links(nodes), Staged(spark, "test")).collect()}
+        groups = defaultdict(set)
+        for i in range(len(fps)):
+            groups[roots.get(i, i)].add(i)
+        assert {frozenset(g) for g in groups.values()} == {frozenset(i for i in want if want[i] == w) for w in set(want.values())}
     import numpy as np
 
     close = np.array([f for f in fps if (f ^ center) >> 24 == 0], np.uint64)

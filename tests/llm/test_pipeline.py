@@ -51,15 +51,26 @@ def test_language(spark, tables):
 
 
 def test_near_duplicates(spark, tables):
+    """The rows that brute force over five-word shingles keeps, whole."""
     path, rows, _ = tables
-    docs = spark.read.parquet(f"{path}/documents.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("node", F.lit(1)).withColumn("row", F.lit("r"))
+    sets = [five(r[1]) for r in rows]
+    group = classes(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    best = {}
+    for i, r in enumerate(rows):
+        best[group[i]] = min(best.get(group[i], (True, 0)), (r[0] is None, r[0] or 0))
     out = corpus_pipeline.near_duplicates(spark, docs, path)
-    fp = {(r[0], r[1]): slow_fingerprint(r[1]) for r in rows if r[0] is not None}
-    group = classes(range(len(fp)), [(i, j) for i, a in enumerate(fp.values()) for j, b in enumerate(fp.values()) if j < i and (a ^ b).bit_count() <= 3])
-    best = defaultdict(list)
-    for i, (doc, _) in enumerate(fp):
-        best[group[i]].append(doc)
-    assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == Counter(min(x) for x in best.values())
+    assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == Counter(i for _, i in best.values())
+    assert set(kept(out)) <= {(*r, 1, "r") for r in rows} and len(best) < len(rows) - 3
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3, 8])
+def test_near_duplicates_keep_unique_texts(spark, parts):
+    """Of a repeated id, the copy goes and the unique text stays, however the rows are dealt."""
+    rng = random.Random(2)
+    a, unique = (" ".join(words(rng, 50)) for _ in range(2))
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, unique, "en", "s", 1)], SCHEMA).repartition(parts)
+    assert kept(corpus_pipeline.near_duplicates(spark, docs, "")) == Counter([(1, a, "en", "s", 1), (5, unique, "en", "s", 1)])
 
 
 def five(t):
@@ -119,7 +130,7 @@ def test_benchmark_free(spark, tables):
 
 def test_without_secrets(spark, tables):
     path, rows, _ = tables
-    docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("found", F.lit(1))
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("found", F.lit(1)).withColumn("_scan", F.lit(2))
     out = corpus_pipeline.without_secrets(spark, docs, path)
 
     def redact(t):
@@ -130,7 +141,7 @@ def test_without_secrets(spark, tables):
             end = max(end or 0, b)
         return "".join([*parts, t[end or 0 :]])
 
-    want = Counter((i, None if t is None else redact(t), lang, s, 0 if t is None else len(redact(t)), 1) for i, t, lang, s, _ in rows)
+    want = Counter((i, None if t is None else redact(t), lang, s, 0 if t is None else len(redact(t)), 1, 2) for i, t, lang, s, _ in rows)
     assert out.columns == docs.columns and kept(out) == want
     assert sum("[SECRET]" in (t or "") for _, t, *_ in want) >= 1
 
