@@ -316,34 +316,95 @@ def test_decontaminate(spark, docs, empty):
     want = leaks | {(202, 42), (203, 43), (None, 3)}
     assert {k for k in got if k[0] not in (204,)} == want | {(203, 42)} & set(got) and got[(202, 42)] == 2
     kept = {r.doc_id for r in decontaminate.drop_leaks(df.withColumn("item_id", F.lit(1)), bench).collect()}
-    assert kept == {d for d, _ in rows} - {d for d, _ in got}
+    assert kept == {d for d, _ in rows} - {d for d, i in got if i != 42} and 202 in kept  # "tiny" is too short to drop a document
+    parts = Counter((r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench, part_chars=400).collect())
+    assert parts == got and {r.doc_id for r in decontaminate.drop_leaks(df, bench, part_chars=400).collect()} == kept
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
-def slow_align(item, text):
-    prev = [(0, j) for j in range(len(text) + 1)]
+def ends(item, text):
+    """Least edits of the whole item in text by where it ends."""
+    prev = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
-        row = [(i, 0)]
+        row = [i]
         for j, x in enumerate(text, 1):
-            row.append(min(prev[j - 1][0] + (c != x), prev[j][0] + 1, row[j - 1][0] + 1))
-            row[-1] = (row[-1], 0)
+            row.append(min(prev[j - 1] + (c != x), prev[j] + 1, row[-1] + 1))
         prev = row
-    return min(x for x, _ in prev)
+    return prev
 
 
 def test_banded():
     import numpy as np
 
     rng = random.Random(4)
-    for _ in range(200):
-        a, b = ([rng.randrange(3) for _ in range(rng.randrange(1, 12))] for _ in range(2))
-        want = slow_align(a, b)
-        got = decontaminate.banded(np.array(a), np.array(b), 6)
-        if want > 6:
+    for _ in range(600):
+        a, b = [rng.randrange(3) for _ in range(rng.randrange(1, 12))], [rng.randrange(3) for _ in range(rng.randrange(14))]
+        of = ends(a, b)
+        got = decontaminate.banded(np.array(a, np.uint32), np.array(b, np.uint32), -len(a), len(b), 6)
+        if min(of) > 6:
             assert got is None
         else:
             e, s, x = got
-            assert e == want and 0 <= s <= x <= len(b) and edit(a, b[s:x]) == e
+            assert (e, x) == (min(of), of.index(min(of))) and 0 <= s <= x and edit(a, b[s:x]) == e
+        low = rng.randrange(-6, 10)
+        if got := decontaminate.banded(np.array(a, np.uint32), np.array(b, np.uint32), low, low + rng.randrange(8), 6):
+            assert edit(a, b[got[1] : got[2]]) <= got[0] <= 6 and low <= got[1] <= low + 7
+
+
+def test_leaks_by_aligning_all_pairs(monkeypatch):
+    """Every region that aligning each item with each text finds, with its end, edits and shared grams; however it is chunked."""
+    rng = random.Random(6)
+    some = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    items = [(i, " ".join(rng.choices(some, k=rng.randrange(3, 40)))) for i in range(25)] + [(None, "xy"), (70, "yes"), (80, "a b")]
+    texts = []
+    for k in range(60):
+        t = rng.choices(some, k=60)
+        for _ in range(rng.randrange(3)):
+            chars = list(items[rng.randrange(25)][1])
+            for _ in range(rng.choice([0, 0, 1, 2, 3, 6])):
+                p = rng.randrange(len(chars))
+                chars[p : p + 1] = rng.choice([[], ["q"], ["q", chars[p]]])
+            t.insert(rng.randrange(len(t)), "".join(chars))
+        texts.append(" ".join(t + ["eyes", "yes", "a", "b.", "xy"][: 5 if k % 5 == 0 else 0]))
+    want = set()
+    for d, t in enumerate(texts):
+        for i, x in items:
+            if len(x) < 12:
+                for m in re.finditer(rf"(?<![a-z]){x}(?![a-z])", t):
+                    want.add((d, i, m.end(), 0, 0))
+                continue
+            q = 12 if len(x) >= 48 else 4
+            e, taken = decontaminate.edit_budget(len(x), q), []
+            for c, j in sorted((c, j) for j, c in enumerate(ends(x, t)) if c <= e):
+                if all(abs(j - y) >= len(x) // 2 for y in taken):
+                    taken.append(j)
+                    want.add((d, i, j, c))
+    got = list(decontaminate.leaks_in(texts, decontaminate.indexes(items, 16)))
+    assert {(d, i, x, e) if n else (d, i, x, e, n) for d, i, _, x, e, n in got} == want and len(got) == len(want) > 50
+    for d, i, s, x, e, n in got:
+        item = dict(items)[i]
+        assert edit(item, texts[d][s:x]) == e
+        if n:
+            q = 12 if len(item) >= 48 else 4
+            grams = {texts[d][k : k + q] for k in range(s, x - q + 1)}
+            assert n == sum(item[k : k + q] in grams for k in range(len(item) - q + 1)) >= len(item) + 1 - q * (e + 1)
+    monkeypatch.setattr(decontaminate, "CHUNK_HITS", 50)
+    monkeypatch.setattr(decontaminate, "CHUNK_CHARS", 3000)
+    assert Counter(decontaminate.leaks_in(texts, decontaminate.indexes(items, 16))) == Counter(got)
+
+
+def test_leaks_in_bounded_memory():
+    """Short items, and grams that repeat in text and item, hold few hits at a time."""
+    import tracemalloc
+
+    rng = random.Random(7)
+    short = [(i, "".join(rng.choice("abcdefgh") for _ in range(8))) for i in range(200)]
+    texts = [" ".join(words(rng, 100)) for _ in range(330)] + ["-" * 9000]
+    tracemalloc.start()
+    found = list(decontaminate.leaks_in(texts, decontaminate.indexes([*short, (300, "-" * 200)], 16)))
+    assert tracemalloc.get_traced_memory()[1] < 1 << 29
+    tracemalloc.stop()
+    assert len(found) == 45 and all(x - s == 200 for _, _, s, x, *_ in found)
 
 
 def edit(a, b):
