@@ -1,25 +1,32 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's words are hashed; a rolling hash (a polynomial modulo the prime 2**31 - 1) covers each run of
-K words, and of every WINDOW such hashes the least is kept with its position, the rightmost of ties.
-So any run of WINDOW + K - 1 words that two texts share puts the same hash into both fingerprints.
+A text's units are its words, and the single signs of scripts that write words without spaces. Units are hashed; a rolling
+hash (a polynomial modulo the prime 2**31 - 1, the unit that leaves taken out and the one that enters put in) covers each run of
+K units, and of every WINDOW such hashes the least is kept with its position, the rightmost of ties. So any run
+of WINDOW + K - 1 units that two texts share puts the same hash into both fingerprints. A text of fewer hashes than
+a window has no such run to promise, and keeps them all.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .spans import let
 
-K = 5
-WINDOW = 16  # a power of two: minima are taken over doubled spans
+K = 3
+WINDOW = 4  # a power of two: minima are taken over doubled spans
 PRIME = (1 << 31) - 1
 _BASE = 1_000_003
 _LAST = (1 << 31) - 1
-SPACE = r"[\x20\x09-\x0D]+"
+#: Hashes that roll one from the other; each block starts anew.
+BLOCK = 32
+#: Code points of scripts written without spaces (Thai and Lao, Myanmar, Khmer, kana, Han).
+UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+UNIT = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]+"
 
 
 def word_hash(word: Column) -> Column:
@@ -28,8 +35,7 @@ def word_hash(word: Column) -> Column:
 
 
 def gram_hashes(text: Column, k: int = K) -> Column:
-    """array<long>: hashes below PRIME of all runs of k words; one of all words where they are fewer; empty without words."""
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
+    """array<long>: hashes below PRIME of all runs of k units; one of all units where they are fewer; empty without units."""
     power = [pow(_BASE, j, PRIME) for j in range(k)]
 
     def term(h: Column, i, n: int) -> Column:
@@ -38,16 +44,23 @@ def gram_hashes(text: Column, k: int = K) -> Column:
 
     def roll(h: Column) -> Column:
         n = F.size(h)
+        last = n - k  # place of the last run
+
+        def block(at: Column) -> Column:
+            first = F.array(term(h, at, k))
+            step = lambda out, i: F.concat(out, F.array(((F.element_at(out, -1) + PRIME - F.get(h, i - 1) * power[k - 1] % PRIME) % PRIME * _BASE + F.get(h, i + k - 1)) % PRIME))
+            return F.when(at == last, first).otherwise(F.aggregate(F.sequence(at + 1, F.least(at + BLOCK - 1, last)), first, step))
+
         out = F.when(n == 0, F.array().cast("array<bigint>"))
         for m in range(1, k):
             out = out.when(n == m, F.array(term(h, F.lit(0), m)))
-        return out.otherwise(F.transform(F.sequence(F.lit(0), n - k), lambda i: term(h, i, k)))
+        return out.otherwise(F.flatten(F.transform(F.sequence(F.lit(0), last, F.lit(BLOCK)), block)))
 
-    return let(F.transform(words, word_hash), roll)
+    return let(F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), word_hash), roll)
 
 
 def winnow(grams: Column, window: int = WINDOW) -> Column:
-    """array<long> in order of position: hash * 2**31 + (2**31 - 1 - position) of the minimum of each window."""
+    """array<long> in order of position: hash * 2**31 + (2**31 - 1 - position) of the minimum of each window; all where they are fewer."""
     packed = F.transform(grams, lambda h, i: F.shiftleft(h, 31) + (F.lit(_LAST) - i).cast("bigint"))
 
     def doubled(span: Column, step: int) -> Column:
@@ -61,7 +74,7 @@ def winnow(grams: Column, window: int = WINDOW) -> Column:
         span, width = x, 1
         while width < window:  # minima over twice the width from two neighbours
             span, width = doubled(span, width), 2 * width
-        return F.when(F.size(x) == 0, x).when(F.size(x) < window, F.array(F.array_min(x))).otherwise(F.array_distinct(span))
+        return F.when(F.size(x) < window, x).otherwise(F.array_distinct(span))
 
     return let(packed, least)
 
@@ -99,23 +112,31 @@ def _bucket_of(x: Column, cuts: list[int]) -> Column:
 
 
 def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], parts: int | None = None) -> DataFrame:
-    """Adds next_<column>: the value in the row that follows by descending key, then tie; the first row's for the last one.
+    """Adds next_<column>: the value in the row that follows by descending key, then MD5 of tie; the first row's for the last one.
 
-    No task sees all rows. Ranges of the key, cut at its quantiles, are windows of their own; the head of each
-    range, one row a range and found by its key alone, closes the gap after the range before. Null keys come last.
+    No task sees all rows. Ranges of the key, cut at its quantiles, are windows of their own; a key (or the lack of one) that fills
+    ranges by itself is cut into as many of MD5. The head of each range, one row a range and found by its key alone,
+    closes the gap after the range before. Null keys come last.
     """
     spark = rows.sparkSession
     n = 4 * (parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = rows.select(key)
-    cuts = sorted(set(keys.approxQuantile(key, [i / n for i in range(1, n)], 0.25 / n)))  # n - 1 numbers
-    bucket = F.coalesce(_bucket_of(F.col(key), [int(c) for c in cuts]), F.lit(-1)).cast("int").alias("_bucket")
-    tops = keys.groupBy(bucket).agg(F.max(key).alias("top")).orderBy(F.desc("_bucket")).collect()  # n + 1 rows at most
+    none = -(1 << 63)
+    number = F.coalesce(F.col(key), F.lit(none))
+    quantiles = rows.agg(F.percentile_approx(number, [i / n for i in range(1, n)], 4 * n)).first()[0] or []  # n - 1 numbers
+    hot = {c: m for c, m in Counter(quantiles).items() if m > 1}
+    cuts = sorted({*quantiles, *(c + 1 for c in hot if c < -(none + 1))})
+    share = F.conv(F.substring(F.md5(F.col(tie).cast("binary")), 1, 7), 16, 10).cast("double") / (1 << 28)
+    pieces = F.lit(0)
+    for c, m in hot.items():  # few: each fills two ranges at least
+        pieces = F.when(number == c, (share * m).cast("int")).otherwise(pieces)
+    bucket = (_bucket_of(number, cuts).cast("int") * n + pieces).alias("_bucket")
+    tops = rows.select(key, tie).groupBy(bucket).agg(F.max(number).alias("top")) if hot else rows.select(key).groupBy(bucket).agg(F.max(number).alias("top"))
+    tops = tops.orderBy(F.desc("_bucket")).collect()  # 3 n rows at most
     after = {b._bucket: tops[(i + 1) % len(tops)]._bucket for i, b in enumerate(tops)}
+    order = F.struct(F.col(key).isNotNull(), number, F.md5(F.col(tie).cast("binary")))
     dealt = rows.withColumn("_bucket", bucket)
-    order = [F.col(key).desc_nulls_last(), F.col(tie).desc_nulls_last()]
-    found = dealt.withColumn("_next", F.lead(F.struct(*columns)).over(Window.partitionBy("_bucket").orderBy(*order)))
-    head = dealt.where(F.col(key).isin([b.top for b in tops if b.top is not None]) | F.col(key).isNull())
-    head = head.groupBy("_bucket").agg(F.max_by(F.struct(*columns), tie).alias("_head"))
+    found = dealt.withColumn("_next", F.lead(F.struct(*columns)).over(Window.partitionBy("_bucket").orderBy(order.desc())))
+    head = dealt.where(number.isin([b.top for b in tops])).groupBy("_bucket").agg(F.max_by(F.struct(*columns), order).alias("_head"))
     before = {a: b for b, a in after.items()}
     if before:
         closes = F.element_at(F.map_from_arrays(F.lit(list(before)), F.lit(list(before.values()))), F.col("_bucket"))
@@ -129,7 +150,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, id_co
 
     The edited text ends with the beginning of the next document in place of its own second half. Null texts are
     empty; texts without words have an empty fingerprint, and two empty ones have likeness 1. Repeated ids follow
-    each other by descending text. A null doc_id comes last. The only row of a table is its own next document.
+    each other by descending MD5 of the text. A null doc_id comes last. The only row of a table is its own next document.
     An empty table gives no rows; columns other than the id and the text are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -147,20 +147,21 @@ FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
 
 
 def fingerprints_sql(k: int = fingerprints.K, w: int = fingerprints.WINDOW, prime: int = fingerprints.PRIME) -> str:
-    """Winnowing by lists: hashes of runs of k words, the least of each w of them, the rightmost of ties."""
+    """Winnowing by lists: hashes of runs of k words, the least of each w of them, the rightmost of ties; all where they are fewer."""
     power = lambda n: [pow(1_000_003, n - 1 - j, prime) for j in range(n)]
     term = lambda i, n: "(" + " + ".join(f"(h[{i} + {j}] * {c} % {prime})" for j, c in enumerate(power(n))) + f") % {prime}"
     few = " ".join(f"WHEN len(h) = {n} THEN [{term('1', n)}]" for n in range(1, k))
+    unit = fingerprints.UNIT
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, lead(coalesce(text, '')) OVER o AS nx, first_value(coalesce(text, '')) OVER o AS top FROM documents
-           WINDOW o AS (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '') DESC)),
+           WINDOW o AS (ORDER BY doc_id DESC NULLS LAST, md5(coalesce(text, '')) DESC)),
 e AS (SELECT row_number() OVER () AS id, doc_id, t, coalesce(nx, top) AS nx, length(t) // 2 AS half FROM d),
 x AS (SELECT id, doc_id, t, nx, substr(t, 1, length(t) - half) || substr(nx, 1, half) AS ed FROM e),
 k0 AS (SELECT id, 'own' AS kind, t AS s FROM x UNION ALL SELECT id, 'ed', ed FROM x UNION ALL SELECT id, 'nx', nx FROM x),
-k1 AS (SELECT id, kind, list_transform(list_filter(string_split_regex(s, '[\x20\x09-\x0D]+'), lambda v: v <> ''), lambda v: ('0x' || substr(md5(v), 1, 7))::BIGINT) AS h FROM k0),
+k1 AS (SELECT id, kind, list_transform(regexp_extract_all(s, '{unit}'), lambda v: ('0x' || substr(md5(v), 1, 7))::BIGINT) AS h FROM k0),
 k2 AS (SELECT id, kind, CASE WHEN len(h) = 0 THEN []::BIGINT[] {few} ELSE list_transform(range(1, len(h) - {k - 2}), lambda i: {term('i', k)}) END AS g FROM k1),
 k3 AS (SELECT id, kind, list_transform(g, lambda v, i: v * 2147483648 + 2147483647 - (i - 1)) AS p FROM k2),
-k4 AS (SELECT id, kind, CASE WHEN len(p) = 0 THEN p WHEN len(p) < {w} THEN [list_min(p)] ELSE list_transform(range(1, len(p) - {w - 2}), lambda i: list_min(p[i:i + {w - 1}])) END AS m FROM k3),
+k4 AS (SELECT id, kind, CASE WHEN len(p) < {w} THEN p ELSE list_transform(range(1, len(p) - {w - 2}), lambda i: list_min(p[i:i + {w - 1}])) END AS m FROM k3),
 k5 AS (SELECT id, kind, list_filter(m, lambda v, i: i = 1 OR v <> m[i - 1]) AS m FROM k4),
 k6 AS (SELECT id, kind, CASE WHEN len(m) = 0 THEN '' ELSE list_aggregate(list_transform(m, lambda v: lower(to_hex(v // 2147483648)) || '@' || (2147483647 - v % 2147483648)), 'string_agg', ' ') END AS f,
               list_distinct(list_transform(m, lambda v: v // 2147483648)) AS hs FROM k5),

@@ -524,24 +524,31 @@ def test_genetics():
     assert json.dumps(sorted(packing.evolve(hist, 100, 1, [], 5, 20).items())) == json.dumps(sorted(best.items()))
 
 
+UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+
+
 def slow_winnow(t):
-    ws = [w for w in re.split(r"[ \t\n\x0b\f\r]+", t or "") if w]
+    ws = re.findall(rf"[{UNSPACED}]|[^ \t\n\x0b\f\r{UNSPACED}]+", t or "")
     if not ws:
         return []
     hs = [int(hashlib.md5(w.encode()).hexdigest()[:7], 16) for w in ws]
     k = min(len(hs), fingerprints.K)
     g = [sum(h * pow(1_000_003, k - 1 - j, 2**31 - 1) for j, h in enumerate(hs[i : i + k])) % (2**31 - 1) for i in range(len(hs) - k + 1)]
-    out, w = [], fingerprints.WINDOW
-    for s in range(max(1, len(g) - w + 1)):
-        _, i = min((h, -i) for i, h in enumerate(g[s : s + w], s))
-        if (g[-i], -i) not in out:
-            out.append((g[-i], -i))
+    w = fingerprints.WINDOW
+    if len(g) < w:
+        return list(zip(g, itertools.count()))
+    out, seen = [], set()
+    for s in range(len(g) - w + 1):
+        h, i = min((h, -i) for i, h in enumerate(g[s : s + w], s))
+        if (h, -i) not in seen:
+            seen.add((h, -i))
+            out.append((h, -i))
     return out
 
 
 def test_fingerprints(docs, corpus, empty):
-    order = sorted(((i, t or "") for i, t in corpus), reverse=True)
-    want, likes = Counter(), {}
+    order = sorted(((i, t or "") for i, t in corpus), key=lambda x: (x[0], hashlib.md5(x[1].encode()).hexdigest()), reverse=True)
+    want = Counter()
     say = lambda p: " ".join(f"{h:x}@{i}" for h, i in p)
 
     def like(a, b):
@@ -558,6 +565,23 @@ def test_fingerprints(docs, corpus, empty):
     assert fingerprints.edited_fingerprints(empty).count() == 0
 
 
+def test_next_of_hot_keys(spark):
+    """A key, or the lack of one, that a third of all rows have is cut into several windows, and the chain stays whole."""
+    rng = random.Random(5)
+    rows = [(rng.choice([7, 7, 7, None, None, None, rng.randrange(40), rng.randrange(10**6), -(1 << 63), (1 << 63) - 1]), f"text {rng.randrange(500)}") for _ in range(900)]
+    df = spark.createDataFrame(rows, "k long, text string").repartition(3)
+    got = Counter((r.k, r.text, r.next_text, r.next_k) for r in fingerprints.with_next(df, "k", "text", ["k", "text"]).collect())
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashlib.md5(x[1].encode()).hexdigest()), reverse=True)
+    assert got == Counter((*a, b[1], b[0]) for a, b in zip(order, order[1:] + order[:1]))
+
+
+def test_short_and_unspaced_texts_keep_likeness(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(words(rng, n))) for i, n in enumerate([10, 12, 15, 18, 25, 30] * 5)] + [(100, "日本語の文章は空白なしで書かれます" * 2), (101, "东边日出西边雨道是无晴却有晴")]
+    out = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.near_edited > r.near_next for r in out) >= len(out) - 2 and all(r.near_edited > r.near_next for r in out if r.doc_id >= 100)
+
+
 def test_winnow_guarantee():
     rng = random.Random(8)
     n = fingerprints.WINDOW + fingerprints.K - 1
