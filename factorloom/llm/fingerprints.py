@@ -128,7 +128,8 @@ def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], parts: in
     share = F.conv(F.substring(F.md5(F.col(tie).cast("binary")), 1, 7), 16, 10).cast("double") / (1 << 28)
     pieces = F.lit(0)
     for c, m in hot.items():  # few: each fills two ranges at least
-        pieces = F.when(number == c, (share * m).cast("int")).otherwise(pieces)
+        piece = (share * m).cast("int")
+        pieces = F.when(number == c, F.when(F.col(key).isNull(), piece).otherwise(m) if c == none else piece).otherwise(pieces)
     bucket = (_bucket_of(number, cuts).cast("int") * n + pieces).alias("_bucket")
     tops = rows.select(key, tie).groupBy(bucket).agg(F.max(number).alias("top")) if hot else rows.select(key).groupBy(bucket).agg(F.max(number).alias("top"))
     tops = tops.orderBy(F.desc("_bucket")).collect()  # 3 n rows at most
