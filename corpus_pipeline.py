@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm import decontaminate, langid, near_copies, packing, secrets
-from factorloom.llm.common import Staged, table
+from factorloom.llm.common import Staged, clean, folders, table
 from factorloom.llm.queries import tokenizer_path
 from factorloom.llm.spans import let
 
@@ -80,5 +80,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, staged = table(spark, sf_dir, "documents"), Staged(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
+        kept = folders()
         docs = staged.put(stage(spark, docs, sf_dir), f"{k}_{name}")
+        clean(spark, keep=kept)  # what the stage wrote for itself
+        if k:
+            staged.drop(f"{k - 1}_{STAGES[k - 1][0]}")
     return docs

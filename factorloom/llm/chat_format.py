@@ -72,17 +72,17 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history_turns: int =
         return F.when(over, F.struct((t["upto"] - t["n"]).alias("before"), t["hist"].alias("hist"), F.concat(s["starts"], F.array(t["i"])).alias("starts"))).otherwise(s)
 
     conv = conv.withColumn("starts", F.aggregate("turns", zero, step, lambda s: s["starts"]))
-    one = conv.select("conv_id", "turns", "starts", F.posexplode("starts").alias("window", "start"))
-    end = F.coalesce(F.get("starts", F.col("window") + 1), F.size("turns") + 1)
-    lone = (F.col("start") > 1) & first["system"]
-    # A turn longer than the budget keeps its window to itself: no history then.
-    own = F.element_at("turns", end - 1)["upto"] - (F.element_at("turns", F.col("start"))["upto"] - F.when(F.element_at("turns", F.col("start"))["system"], 0).otherwise(F.element_at("turns", F.col("start"))["n"]))
-    begin = F.element_at("turns", F.col("start"))
-    keeps = (F.col("start") > 1) & (own + begin["hist"] + system <= budget)
-    repeated = F.when(keeps, begin["back"]).otherwise(0)
-    front = F.when(lone, F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
-    one = one.withColumn("repeated", F.concat(front, F.slice("turns", F.col("start") - repeated, repeated)))
-    one = one.withColumn("new", F.slice("turns", F.col("start"), end - F.col("start")))
+    # Each window takes its own turns before rows are made of windows, so bytes follow the turns and not turns times windows.
+    def window(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("turns") + 1)
+        begin = F.element_at("turns", start)
+        # A turn longer than the budget keeps its window to itself: no history then.
+        own = F.element_at("turns", end - 1)["upto"] - (begin["upto"] - F.when(begin["system"], 0).otherwise(begin["n"]))
+        repeated = F.when((start > 1) & (own + begin["hist"] + system <= budget), begin["back"]).otherwise(0)
+        front = F.when((start > 1) & first["system"], F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
+        return F.struct(F.concat(front, F.slice("turns", start - repeated, repeated)).alias("repeated"), F.slice("turns", start, end - start).alias("new"))
+
+    one = conv.select("conv_id", F.posexplode(F.transform("starts", window)).alias("window", "turns")).select("conv_id", "window", "turns.*")
     n_rep = F.size("repeated")
     shown = F.transform(F.concat("repeated", "new"), lambda t, i: F.struct(F.concat(F.lit(START), escape(t["role"]), F.lit(SEP)).alias("head"), escape(t["text"]).alias("body"), ((t["role"] == "assistant") & (i >= n_rep)).alias("learn"), t["n"].alias("n")))
     one = one.select("conv_id", "window", n_rep.alias("n_repeated"), shown.alias("shown"))

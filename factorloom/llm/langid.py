@@ -20,8 +20,10 @@ from .common import small_batches
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: Labelled rows that train the classifier, as expected from the share of hashes taken. They are used as whole texts.
+#: Labelled texts that train the classifier, as expected from the share of hashes taken, dealt out by the languages' counts. They
+#: are used as whole texts. A language has its FLOOR-th part of an equal share at least, or all its texts.
 SAMPLE = 6_000
+FLOOR = 4
 UNKNOWN = "und"
 #: Term frequencies are shares; times this, steps of the learner have a useful size.
 SCALE = 30.0
@@ -168,15 +170,24 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], df: np.ndarray, n_docs:
     return Model(classes, idf[:, None] * w, temperature(logits, np.array([y for *_, y in rest], int)))
 
 
+def shares(counts: dict[str, int], sample: int = SAMPLE) -> dict[str, float]:
+    """The share of each language's texts to learn from: sample * (1 + 1 / FLOOR) texts at most, in expectation."""
+    total, least = sum(counts.values()), max(1.0, sample / (FLOOR * max(1, len(counts))))
+    return {k: min(1.0, max(sample * n / total, least) / n) for k, n in counts.items()}
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """labelled: doc_id, text, lang, all rows to learn from. Document frequencies cover them all; weights come from a
-    sample, bounded by sample in expectation: the rows of the least hashes of doc_id, of which features of fixed size
-    come to the driver."""
+    """labelled: text, lang, all rows to learn from. Document frequencies cover them all; weights come from a sample, bounded
+    by the languages' shares in expectation: the texts of the least hashes, each once however often it is copied, of which
+    features of fixed size come to the driver."""
     small_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null")
     df, n = document_frequency(labelled)
-    top = int((min(1.0, sample / max(n, 1)) - 0.5) * 2**64)
-    some = labelled.withColumn("h", F.xxhash64("doc_id")).where(F.col("h") <= F.lit(min(max(top, -(2**63)), 2**63 - 1)))
+    share = shares({r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}, sample)  # a row a language
+    top = {k: min(max(int((x - 0.5) * 2**64), -(2**63)), 2**63 - 1) for k, x in share.items()}
+    h = F.xxhash64("text", "lang")
+    bound = F.element_at(F.map_from_arrays(F.lit(list(top)), F.lit(list(top.values()))), F.col("lang")) if top else F.lit(0)
+    some = labelled.where(h <= bound).groupBy(h.alias("h"), "lang").agg(F.first("text").alias("text"))
 
     def run(batches):
         for b in batches:

@@ -32,9 +32,9 @@ WORD_END = "</w>"
 
 
 class Encoder:
-    """Texts -> little-endian unsigned 32-bit ids, for vocabularies with word ends that drop white space.
+    """Texts -> little-endian unsigned 32-bit ids. A vocabulary without word ends encodes whole texts.
 
-    No token and no normalisation of such a vocabulary reaches across a space, so each part between spaces is
+    With word ends, which drop white space: no token and no normalisation of such a vocabulary reaches across a space, so each part between spaces is
     encoded once. A part of letters and signs is its word and its signs; new words are encoded many at once and told
     apart by their word ends. Any other part goes to the tokenizer by itself.
     """
@@ -50,6 +50,14 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
+        self.whole = not self._ends_words()
+
+    def _ends_words(self) -> bool:
+        """Whether the vocabulary lower-cases, ends words and drops white space, so that parts can be encoded by themselves."""
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        said = ["Ab", "naïve", "x.", "12-3", "(It's)"]
+        parts = [ids(x) for x in said]
+        return all(x and self.ends[x[-1]] for x in parts) and ids("  ".join(said)) == sum(parts, []) == ids("\n".join(x.lower() for x in said))
 
     def _words(self, words: list[str]) -> None:
         """Words of letters only."""
@@ -89,6 +97,8 @@ class Encoder:
             known[p] = known[core] + known[sign]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.whole:
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.known) > self.size:
             self.known.clear()
         get = self.known.get
@@ -216,25 +226,38 @@ def crossover(a: Packing, b: Packing, hist: dict[int, int], capacity: int, rng:
     return best_fit({x: n for x, n in left.items() if n > 0}, capacity, dict(child))
 
 
+def bins(x: Packing) -> int:
+    return sum(x.values())
+
+
+def least_bins(hist: dict[int, int], capacity: int) -> int:
+    """No packing has fewer."""
+    return -(-sum(x * n for x, n in hist.items()) // capacity)
+
+
 def evolve(hist: dict[int, int], capacity: int, seed: int, elites: list[Packing], population: int, generations: int) -> Packing:
-    """One epoch of one island."""
-    rng = np.random.default_rng(seed)
-    people = [best_fit(hist, capacity), *elites]
+    """One epoch of one island: from packings of random order, children by crossover until one has the least bins that any
+    packing can have. The plain best fit takes part only at the end, as what the island must not fall short of."""
+    rng, least = np.random.default_rng(seed), least_bins(hist, capacity)
+    rank = lambda x: fitness(x, capacity)
+    people = list(elites)
     while len(people) < population:
         some = {x: int(rng.integers(0, n + 1)) for x, n in hist.items()}
         first = best_fit({x: n for x, n in some.items() if n}, capacity)
         people.append(best_fit({x: n - some[x] for x, n in hist.items() if n > some[x]}, capacity, first))
     for _ in range(generations):
-        people.sort(key=lambda x: fitness(x, capacity), reverse=True)
-        if -fitness(people[0], capacity)[0] <= -(-sum(x * n for x, n in hist.items()) // capacity):
-            break  # no packing has fewer bins
-        i, j = rng.integers(0, max(1, population // 2)), rng.integers(0, population)
-        people[-1] = crossover(people[i], people[j], hist, capacity, rng)
-    return max(people, key=lambda x: fitness(x, capacity))
-
-
-def pack(spark: SparkSession, hist: dict[int, int], capacity: int, islands: int = 4, epochs: int = 2, population: int = 4, generations: int = 6, seed: int = 7) -> Packing:
-    """The islands: one task each and epoch; in between the elites, of bounded size, move on in a ring."""
+        people.sort(key=rank, reverse=True)
+        i = int(rng.integers(0, max(1, population // 2)))
+        j = (i + 1 + int(rng.integers(0, population - 1))) % population if population > 1 else i
+        people[-1] = max(crossover(people[i], people[j], hist, capacity, rng), crossover(people[j], people[i], hist, capacity, rng), key=rank)
+        if bins(people[-1]) <= least:
+            break
+    return max([*people, best_fit(hist, capacity)], key=rank)
+
+
+def pack(spark: SparkSession, hist: dict[int, int], capacity: int, islands: int = 4, epochs: int = 4, population: int = 12, generations: int = 30, seed: int = 7) -> Packing:
+    """The islands: one task each and epoch; in between the elites, of bounded size, move on in a ring. No epoch follows one
+    that reached the least bins that any packing can have."""
     elites: list[list] = [[] for _ in range(islands)]
     if not hist:
         return {}
@@ -253,6 +276,8 @@ def pack(spark: SparkSession, hist: dict[int, int], capacity: int, islands: int
         task = spark.createDataFrame(rows, "island int, epoch int, elites string").repartitionByRange(islands, "island")
         best = {r.island: json.loads(r.best) for r in task.mapInPandas(run, "island int, best string").collect()}
         elites = [best[(i - 1) % islands] for i in range(islands)]
+        if min(sum(m for _, m in e) for e in elites) <= least_bins(hist, capacity):
+            break
     return max(({tuple(p): m for p, m in e} for e in elites), key=lambda x: (fitness(x, capacity), sorted(x.items())))
 
 
@@ -276,15 +301,15 @@ def slots(packing: Packing) -> dict[int, np.ndarray]:
 
 def assign(parts: DataFrame, packing: Packing, chunk_rows: int = 20_000) -> DataFrame:
     """Deals the packing's places out: the pieces of one length take them by rank. Ranks are counted in chunks
-    of hashed documents, and shifted by the counts of the chunks before, so no length meets in one task."""
+    of hashed row numbers, and shifted by the counts of the chunks before, so no length, id or text meets in one task."""
     spark = parts.sparkSession
     n = sum(m * len(p) for p, m in packing.items())
     chunks = max(1, n // chunk_rows)
     places = spark.sparkContext.broadcast(slots(packing))  # bounded by distinct lengths and patterns
-    parts = parts.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    parts = parts.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int"))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     shift = parts.groupBy("length", "chunk").agg(F.count("*").alias("n")).select("length", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    rank = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32"))
+    rank = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("row"))
     ranked = parts.withColumn("rank", rank).join(shift, ["length", "chunk"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("shift") + F.col("rank") - 1).alias("at"))
 
     def run(batches):
@@ -306,10 +331,10 @@ def best_fit_pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece that holds end_id alone. A row without doc_id keeps the null.
-    Repeated rows are packed each by itself; ties of rank are broken by doc_id, piece and digest. An
+    Repeated rows are packed each by itself; pieces of one length take their places in no order that means anything. An
     empty table gives no rows; columns other than the id and the text are not read.
     """
     staged = Staged(docs.sparkSession, "packing")
-    parts = staged.put(pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    parts = staged.put(pieces(docs, tokenizer_path, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     hist = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     return assign(parts, pack(docs.sparkSession, hist, capacity, **ga))

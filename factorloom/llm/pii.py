@@ -235,8 +235,8 @@ def probability(x: Column, weights: list[float]) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, base and added: arrays of struct<start, rank, end> in order; rank gives the kind.
 
-    Added are candidates outside the base that the fitted classifier takes at LEAST or more and that overlap no
-    base span. Null texts are empty. Documents are scanned one by one and the fit counts repeated rows as often as
+    Added are candidates outside the base that fail no strict test, that the fitted classifier takes at LEAST or more and that
+    overlap no base span. Null texts are empty. Documents are scanned one by one and the fit counts repeated rows as often as
     they come; without candidates the classifier adds nothing. An empty table gives no rows; columns other than
     the id and the text are not read.
     """
@@ -244,7 +244,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     weights = fit(found).weights
     short = lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"))
     rows = found.withColumn("base", F.transform(F.filter("found", lambda x: x["base"]), short))
-    rows = rows.withColumn("more", F.transform(F.filter("found", lambda x: ~x["base"] & (probability(x, weights) >= LEAST)), short))
+    rows = rows.withColumn("more", F.transform(F.filter("found", lambda x: ~x["base"] & (x["strict"] >= 0) & (probability(x, weights) >= LEAST)), short))
     added = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return rows.select("doc_id", "base", F.when(F.size("more") == 0, F.col("more")).otherwise(added).alias("added"))
 

@@ -8,7 +8,8 @@ document drop out. The rest extend: each window of 13 words around a shared anch
 bits, and the smallest doc_id of a key decides who keeps the words.
 
 Entries travel packed, one row for each batch of documents and part of the hashes, and meet in their
-part as sorted arrays. Parts are as many as spark.sql.shuffle.partitions, which sets a task's memory.
+part as sorted arrays. The number of parts follows the bytes of text, and a task holds one part at a time, so its memory
+does not grow with the input.
 """
 
 from __future__ import annotations
@@ -119,6 +120,8 @@ def _extremes(key: list[np.ndarray], doc: np.ndarray):
 
 _ROW = pa.schema([("p", pa.int32()), ("home", pa.int64()), ("data", pa.binary())])
 ROW = "p int, home long, data binary"
+#: Bytes of text whose entries meet in one part.
+PART_BYTES = 16 << 20
 #: Documents whose places travel in one row.
 HOME = 64
 
@@ -192,18 +195,24 @@ def _deal(key: list[np.ndarray], part: np.ndarray, parts: int, homes: int, ids,
 
 
 def _meet(batches, settle: bool, homes: int):
-    """All entries of a part meet: places of shared anchors, or of windows to cut, by home; settled rows pass."""
-    got = []
+    """Entries of a part meet, one part after the other: places of shared anchors, or of windows to cut, by home; settled rows pass."""
+    at_part, got = None, []
     for b in batches:
         entries = b.column(1).is_null()
         some = b.filter(entries)
         for p, data in zip(some.column(0).to_pylist(), some.column(2).to_pylist()):
-            key, *rest = _unpacked(data)
-            got.append(([np.full(len(rest[0]), p, np.int32), *key], *rest))
+            if p != at_part and got:
+                yield _met(got, settle, homes)
+                got = []
+            at_part = p
+            got.append(_unpacked(data))
         if some.num_rows < b.num_rows:
             yield b.filter(pa.compute.invert(entries)).select(["home", "data"])
-    if not got:
-        return
+    if got:
+        yield _met(got, settle, homes)
+
+
+def _met(got: list, settle: bool, homes: int) -> pa.RecordBatch:
     key = [np.concatenate(x) for x in zip(*(g[0] for g in got))]
     doc, v, at, known = (np.concatenate(x) for x in list(zip(*got))[1:])
     got.clear()
@@ -215,7 +224,7 @@ def _meet(batches, settle: bool, homes: int):
     else:
         take = doc[order] > lo
     order = order[take]
-    yield _rows([], [], *_homes(doc[order], v[order], at[order], homes)).select(["home", "data"])
+    return _rows([], [], *_homes(doc[order], v[order], at[order], homes)).select(["home", "data"])
 
 
 def _with_places(batches):
@@ -308,12 +317,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     staged = Staged(spark, "substring")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("raw"))
     repeated = not rows.groupBy("doc").count().where("count > 1").isEmpty()
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()
     rows = rows.select("doc", (F.xxhash64("raw") if repeated else F.lit(0).cast("long")).alias("v"), "raw")
     named = rows.where("doc is not null")
-    parts, homes = int(spark.conf.get("spark.sql.shuffle.partitions")), (rows.count() // HOME) | 1  # odd: ids in even steps spread too
+    parts, homes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES)), (n // HOME) | 1  # odd: ids in even steps spread too
 
     def meet(dealt: DataFrame, settle: bool, name: str) -> DataFrame:
-        return staged.put(dealt.repartition("p").mapInArrow(lambda bs: _meet(bs, settle, homes), "home long, data binary"), name)
+        return staged.put(dealt.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(lambda bs: _meet(bs, settle, homes), "home long, data binary"), name)
 
     def beside(docs: DataFrame, places: DataFrame) -> DataFrame:
         """Documents and the rows with their places, sorted so that places come first within a home."""

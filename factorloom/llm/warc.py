@@ -25,10 +25,12 @@ DATE = "2020-01-01T00:00:00Z"
 #: An archive is closed at so many bytes of records before compression (and holds one record at least).
 ARCHIVE_BYTES = 24 << 20
 DICTIONARY_BYTES = 64 << 10
-#: The dictionary is trained on records spread over the archive, at most so many bytes of them.
+#: The dictionary is trained on so many bytes of the archive's records, an equal share and a kilobyte at least of each.
 SAMPLE_BYTES = 4 << 20
 LEVEL = 6
 LEAST_REVISIT = 100
+#: Tasks over which copies of one payload are spread.
+SALTS = 16
 _PAGE = "urn:uuid:"
 
 
@@ -62,9 +64,9 @@ def _line(url: str) -> str:
 
 
 def train_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES, sample_bytes: int = SAMPLE_BYTES) -> bytes:
-    """From records spread evenly over the archive; empty where they are too few or too alike to train one."""
-    step = max(1, -(-sum(map(len, records)) // sample_bytes))
-    some = [r[: 1 << 17] for r in records[::step]]
+    """From the beginnings of all records, and more of them the fewer they are; empty where they are too few or too alike to train one."""
+    each = max(1 << 10, sample_bytes // max(1, len(records)))
+    some = [r[at : at + (1 << 17)] for r in records for at in range(0, min(len(r), each), 1 << 17)]
     if len(some) < 16:
         return b""
     try:
@@ -125,8 +127,12 @@ def write_archives(pages: DataFrame, staged: Staged, archive_bytes: int = ARCHIV
     p = p.withColumn("digest", F.sha2("payload", 256))
     long = F.octet_length("payload") >= LEAST_REVISIT
     # Only keys with copies; counted before the shuffle, so a payload that a third of all pages share is one row a task.
-    first = p.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    p = p.join(first, "digest", "left").withColumn("refers_to", F.when(long & (F.col("first") < F.col("page_id")), F.col("first")))
+    first = p.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # The rows carry payloads: copies of one digest are spread over SALTS tasks, and short payloads, which refer to none, over all.
+    first = first.select("digest", "first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")).select(F.concat_ws("/", "digest", "salt").alias("key"), "first")
+    place = F.xxhash64("page_id", "url")
+    p = p.withColumn("key", F.when(long, F.concat_ws("/", "digest", F.pmod(place, F.lit(SALTS)))).otherwise(place.cast("string")))
+    p = p.join(first, "key", "left").withColumn("refers_to", F.when(long & (F.col("first") < F.col("page_id")), F.col("first")))
     where = f"{staged.root}/archives"
 
     def run(batches):

@@ -198,6 +198,111 @@ def test_pii(docs, corpus, empty):
     assert pii.scan(empty).count() == 0
 
 
+LOOSE = [("email", 0, pii.LOOSE["email"]), ("phone", 3, pii.LOOSE["phone"])]
+
+
+def slow_candidates(t):
+    """(start, rank, end, base, strict, gazetteer, cue, against, separated, long) of all candidates, by Python's re."""
+    out = []
+
+    def add(kind, rank, start, end, base, strict):
+        m, before, after = t[start:end], t[max(0, start - 40) : start], t[end : end + 40]
+        only = re.sub("[^0-9]", "", m)
+        known = {"email": lambda: re.search(pii.DOMAINS, re.sub(r"(?i) ?[\[(]dot[\])] ?", ".", m)), "ip": lambda: not re.search(pii.RESERVED, m), "card": lambda: re.search(pii.NETWORKS, only), "phone": lambda: re.search(pii.CALLING, m)}[kind]()
+        cue = any(re.search(p, x) for p, x in ((pii.CUES[kind], before), (pii.BESIDE, before), (pii.BESIDE, after)))
+        against = re.search(pii.AGAINST, before) or re.search("[A-Za-z_#]$", before) or re.search("^[A-Za-z_]", after)
+        out.append((start, rank, end, base, strict, 1 if known else -1, int(cue), -int(bool(against)), int(bool(re.search(r"[\x20().-]", m))), int(len(m) >= 16)))
+
+    for rank, (kind, pattern, ok) in enumerate(PERSONAL):
+        for m in re.finditer(pattern, t):
+            if len(re.sub("[^0-9]", "", m[0])) < {"card": 12, "phone": 9}.get(kind, 0):
+                continue
+            good = bool(ok(m))
+            add(kind, rank, *m.span(), good, 1 if good else -1)
+            if not good and kind in pii.INNER:
+                for y in re.finditer(pii.INNER[kind], m[0]):
+                    if len(y[0]) < len(m[0]):
+                        add(kind, rank, m.start() + y.start(), m.start() + y.end(), False, 1 if ok(y) else -1)
+    for kind, rank, pattern in LOOSE:
+        for m in re.finditer(pattern, t):
+            add(kind, rank, *m.span(), False, 0)
+    return sorted(out)
+
+
+def personal_texts(rng, n):
+    """Texts with known personal data in forms that the base takes and forms that it drops, among numbers that only look so."""
+    texts, truth = [], []
+
+    def card():
+        d = [4, *(rng.randrange(10) for _ in range(14))]
+        twice = sum(x if k % 2 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(reversed(d)))
+        return "".join(map(str, [*d, -twice % 10]))
+
+    def phone():
+        return f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(10000):04d}"
+
+    for k in range(n):
+        parts, told = [], set()
+
+        def put(x, *true):
+            at = sum(map(len, parts)) + len(parts)
+            parts.append(x)
+            told.update((at + x.index(y), at + x.index(y) + len(y)) for y in true)
+
+        put(" ".join(words(rng, rng.randrange(3, 30))))
+        c, d, p = card(), card(), phone()
+        form = k % 8
+        if form == 0:
+            put(f"{c} {d}", c, d)
+        elif form == 1:
+            put(f"{p} {c}", p, c)
+        elif form == 2:
+            put(f"mail jane.doe{k} [at] mail{k}.example [dot] com", f"jane.doe{k} [at] mail{k}.example [dot] com")
+        elif form == 3:
+            put(f"phone {p[3:]}", p[3:])
+        elif form == 4:
+            put(f"a{k}@mail.example.com", f"a{k}@mail.example.com")
+        elif form == 5:
+            put(f"{c} x {p} y {rng.randrange(11, 99)}.{rng.randrange(9, 99)}.7.21", c, p)
+        else:
+            put(rng.choice([f"order {rng.randrange(10**15, 10**16)}", f"{rng.randrange(10**15, 10**16)} and", f"id{rng.randrange(10**20, 10**21):x}{rng.randrange(10**13)}z", "version 1.2.3.4", f"{rng.randrange(10**27, 10**28)}"]))
+        put(" ".join(words(rng, rng.randrange(3, 30))))
+        texts.append(" ".join(parts))
+        truth.append(told)
+    return texts, truth
+
+
+def test_pii_adds_what_the_base_drops(spark, corpus):
+    """Added spans by brute force: candidates, votes, the fit and the verdict; and their precision and recall on known spans."""
+    texts, truth = personal_texts(random.Random(4), 400)
+    texts += [t or "" for _, t in corpus]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: [tuple(x) for x in r.found] for r in pii.propose(df).collect()}
+    slow = {i: slow_candidates(t) for i, t in enumerate(texts)}
+    assert found == slow
+    counts = Counter((x[1], *x[4:]) for xs in slow.values() for x in xs)
+    votes = Counter()
+    for k, n in counts.items():
+        votes[k[1:5]] += n
+    share, reliability, post = pii.expect_maximise(sorted(votes.items()))
+    soft = dict(zip(sorted(votes), post))
+    vector = lambda k: [1.0, *map(float, k[1:]), *(float(k[0] == i) for i in range(1, 4))]
+    w = pii.logistic([(vector(k), soft[k[1:5]], float(n)) for k, n in sorted(counts.items(), key=lambda x: (x[0][0], *x[0][1:]))])
+    want = {}
+    for i, xs in slow.items():
+        base = [x[:3] for x in xs if x[3]]
+        sure = [x for x in xs if not x[3] and x[4] >= 0 and 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, vector((x[1], *x[4:])))))) >= pii.LEAST]
+        want[i] = [x[:3] for x in sure if not any(s < x[2] and x[0] < e for s, _, e in base)]
+    rows = pii.scan(df).collect()
+    got = {r.doc_id: [tuple(x) for x in r.added] for r in rows}
+    assert got == want
+    added = [(i, s, e) for i in range(len(truth)) for s, _, e in got[i]]
+    true = [(i, s, e) for i, s, e in added if (s, e) in truth[i]]
+    dropped = {(i, s, e) for i, x in enumerate(truth) for s, e in x} - {(r.doc_id, x["start"], x["end"]) for r in rows for x in r.base}
+    assert len(added) > 100 and len(true) >= 0.95 * len(added) and len(set(true)) >= 0.6 * len(dropped)
+    assert reliability["cue"] != reliability["against"] and all(any(x[7 - k] for xs in slow.values() for x in xs) for k in (0, 1))
+
+
 def test_expectation_maximisation():
     rng, counts = random.Random(5), Counter()
     for _ in range(20000):
@@ -435,11 +540,82 @@ def test_langid(spark, sf_dir, docs, empty):
     assert kept == {i for i in said if i not in (0, 1, 2)}
 
 
+def test_langid_scores_are_dot_products(spark, sf_dir):
+    """Each score is the calibrated softmax of TF-IDF n-gram counts times weights, summed one by one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs)
+    texts = [r.text for r in docs.limit(30).collect() if r.text] + ["x", "Été 12 ß", "日本"]
+    langs, scores = model.predict(texts)
+    for t, lang, score in zip(texts, langs, scores):
+        at, tf = langid.features(t)
+        logit = [sum(f * model.table[c][b] for b, f in zip(at.tolist(), tf.tolist())) / model.heat for c in range(len(model.classes))]
+        p = [math.exp(x - max(logit)) for x in logit]
+        assert lang == model.classes[max(range(len(p)), key=p.__getitem__)] and abs(score - max(p) / sum(p)) < 1e-5
+    codes, _ = langid.fold(["Ab1"])
+    assert codes.tolist() == [32, 97, 98, 32, 32] and sum(langid.features("Ab1")[1]) == pytest.approx(1)
+
+
+def test_langid_sample(spark):
+    """The share of a rare language does not fall with the others' counts, and a text that a third of all rows repeat counts once."""
+    share = langid.shares({"en": 10**9, "de": 10**9, "is": 500})
+    assert 500 * share["is"] == 500 and sum(n * share[k] for k, n in {"en": 10**9, "de": 10**9, "is": 500}.items()) <= 1.25 * langid.SAMPLE
+    rng = random.Random(1)
+    rows = [(1, "the same words again and again", "en")] * 400 + [(i, " ".join(words(rng, 20)), "de" if i % 2 else "en") for i in range(800)] + [(5000 + i, "þetta er íslenska ð", "is") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    fit = langid.fit
+    langid.fit = lambda rows, *a: seen.append(len(rows)) or fit(rows, *a)
+    try:
+        model = langid.train(df, sample=200)
+    finally:
+        langid.fit = fit
+    assert "is" in model.classes and 100 < seen[0] < 300
+
+
 def test_ftrl_is_sparse(spark, sf_dir):
     model = langid.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     assert 0 < (model.table != 0).any(axis=0).mean() < 0.5
 
 
+def test_shared_folder():
+    from factorloom.llm import common
+
+    class Session:
+        def __init__(self, root, master):
+            self.conf, self.sparkContext = self, self
+            self.root, self.master = root, master
+
+        def get(self, *_):
+            return self.root
+
+    assert common.shared_dir(Session("file:///x/", "spark://y")) == "file:///x" and common.shared_dir(Session(None, "local[4]")).startswith("file:///tmp")
+    for master in ("spark://y", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            common.shared_dir(Session(None, master))
+
+
+def test_clean(spark):
+    from pathlib import Path
+
+    from factorloom.llm import common
+
+    before = common.folders()
+    one, two = common.Staged(spark, "one"), common.Staged(spark, "two")
+    one.put(spark.range(3), "a"), two.put(spark.range(3), "b")
+    path = lambda x: Path(x.root.removeprefix("file://"))
+    assert path(one).exists() and path(two).exists()
+    common.clean(spark, keep=[*before, one.root])
+    assert common.folders() == [*before, one.root] and path(one).exists() and not path(two).exists()
+    common.clean(spark, keep=before)
+    assert common.folders() == before and not path(one).exists()
+
+
+def test_dictionary_of_long_records():
+    rng = random.Random(1)
+    records = [" ".join(words(rng, 60000)).encode() for _ in range(20)]
+    assert warc.train_dictionary(records) and not warc.train_dictionary(records[:3])
+
+
 def slow_dedup(corpus):
     first = {}
     for i, t in corpus:
@@ -471,6 +647,11 @@ def test_substring_dedup(spark, docs, corpus, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_substring_dedup_in_many_parts(docs, corpus, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PART_BYTES", 2000)
+    assert sorted(tuple(r)[:4] for r in substring_dedup.remove_repeats(docs).collect()) == sorted(slow_dedup(corpus))
+
+
 def test_cover():
     p, c = substring_dedup.PERIOD, set(substring_dedup.COVER)
     assert all(any((i + d) % p in c and (j + d) % p in c for d in range(p)) for i in range(p) for j in range(p))
@@ -491,7 +672,7 @@ def test_packing(spark, docs, corpus, empty):
     assert Counter(tuple(r)[:5] for r in got) == want
     check_places(got, 64)
     assert packing.best_fit_pack(empty, queries.tokenizer_path()).count() == 0
-    parts = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate([5, 5, 5, 3, 3, 2, 7, 7, 1, 8] * 30)], packing.PIECE)
+    parts = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate([5, 5, 5, 3, 3, 2, 7, 7, 1, 8] * 30)], packing.PIECE).withColumn("row", F.monotonically_increasing_id())
     p = packing.best_fit(dict(Counter(r["length"] for r in parts.collect())), 8)
     check_places(packing.assign(parts, p, chunk_rows=20).collect(), 8)
 
@@ -527,6 +708,38 @@ def test_genetics():
 UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 
 
+def test_islands_beat_best_fit(spark):
+    """Triples that fill bins exactly: best fit by falling length misses the least number of bins, crossover comes nearer."""
+    rng, items = random.Random(2), []
+    for _ in range(40):
+        a = rng.randrange(25, 48)
+        b = rng.randrange(25, 100 - a - 24)
+        items += [a, b, 100 - a - b]
+    hist = dict(Counter(items))
+    plain, made = packing.best_fit(hist, 100), packing.pack(spark, hist, 100)
+    assert packing.least_bins(hist, 100) == 40 <= packing.bins(made) < packing.bins(plain)
+    assert all(sum(p) <= 100 for p in made) and {x: sum(m * p.count(x) for p, m in made.items()) for x in hist} == hist
+
+
+def test_crossover_makes_the_result(monkeypatch):
+    """Children are bred even where best fit alone has the least number of bins."""
+    bred, plain = [], packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: bred.append(1) or plain(*a))
+    hist = dict(Counter([7, 5, 3, 3, 2, 1, 1] * 50))
+    assert packing.bins(packing.evolve(hist, 10, 1, [], 6, 10)) == packing.least_bins(hist, 10) and bred
+
+
+def test_encoder_of_any_vocabulary(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"a": 0, "b": 1, "[UNK]": 2, "A": 3}, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.save(str(tmp_path / "t.json"))
+    e = packing.Encoder(str(tmp_path / "t.json"))
+    assert e.whole and e(["a B A", ""]) == [bytes([0, 0, 0, 0, 2, 0, 0, 0, 3, 0, 0, 0]), b""]
+    assert not packing.Encoder(queries.tokenizer_path()).whole
+
+
 def slow_winnow(t):
     ws = re.findall(rf"[{UNSPACED}]|[^ \t\n\x0b\f\r{UNSPACED}]+", t or "")
     if not ws:
