@@ -8,8 +8,10 @@ is the same for all texts will do). Shingles are counted over all rows, by 32 bi
 A text keeps an entry only for those of its rarest shingles that a second row has, so most texts have none. Entries of
 one shingle make a list; pairs, of the index or a list, are verified on their whole sets, and only verified pairs are links.
 
-A large group of near copies would give all its pairs. So long lists first link their members with a few leaders, the
-same ones over all lists; then only pairs whose members are still apart are verified, whatever the length of the list.
+A large group of near copies would give all its pairs. So each text carries a bitmap of the parities of its shingles: two sets
+differ in as many shingles at least as their bitmaps in bits, and likeness 0.8 allows a ninth of both sizes. Pairs beyond
+that are out for sure. Of those that are left a long list gives a spanning forest only; once it is verified and groups are
+known, pairs of a list that the bitmaps allow and whose members are still apart are verified too, whatever its length.
 """
 
 from __future__ import annotations
@@ -24,14 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Staged, small_batches
-from .simhash import components, links, majority
+from .simhash import components, links, majority, side_by_side
 
 SEED = 42
 SHINGLE = 5
 #: Likeness of at least NUM / DEN.
 NUM, DEN = 4, 5
-#: Up to here all pairs of a list are verified at once; longer ones begin with pairs of this many leaders.
-SHORT, LEADERS = 8, 3
+#: Up to here all pairs of a list that can reach the likeness are verified at once; longer ones begin with a forest.
+SHORT = 8
+#: Words of 64 bits of a bitmap: sharp up to about 2,000 shingles.
+WORDS = 16
+#: Bytes of text whose shingles are counted in one part.
+PART_BYTES = 16 << 20
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -122,39 +128,101 @@ def _rarest(batches):
 
 def entries(docs: DataFrame) -> DataFrame:
     """docs: node, raw. Returns key, node, n: every pair of nodes of the likeness shares a key."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))  # a task holds one part at a time
     small_batches(docs.sparkSession)
     dealt = docs.mapInArrow(partial(_deal, parts=parts), "part int, batch long, row binary, hash binary")
     shared = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_shared, "batch long, part int, row binary, hash binary, rows binary")
     return shared.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(_rarest, "key long, node long, n long").distinct()
 
 
+def bitmap(grams: np.ndarray) -> bytes:
+    """For each bit whether the number of shingles that fall on it is odd: common shingles of two sets cancel out."""
+    n = np.bincount(((grams >> np.uint64(7)) % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS)
+    return np.packbits((n & 1).astype(bool)).tobytes()
+
+
+def possible(n: np.ndarray, bits: np.ndarray, m, more) -> np.ndarray:
+    """Whether sets of sizes n and m can reach the likeness, by their sizes and bitmaps."""
+    ok = DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)
+    return ok & ((DEN + NUM) * np.bitwise_count(bits ^ more).sum(axis=1, dtype=np.int64) <= (DEN - NUM) * (n + m))
+
+
+def _blocks(batches):
+    """Columns key, node, n, group and bitmaps of whole lists, one after the other; rows come sorted by key."""
+
+    def out(held):
+        return [np.concatenate(c) for c in zip(*held)]
+
+    held: list = []
+    for b in batches:
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] + [np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(-1, WORDS)]
+        key = cols[0]
+        if not len(key):
+            continue
+        last = int(np.searchsorted(key, key[-1]))
+        if last or (held and held[-1][0][-1] != key[0]):
+            yield out([*held, [c[:last] for c in cols]])
+            held = []
+        held.append([c[last:] for c in cols])
+    if held:
+        yield out(held)
+
+
+def _forest(n: np.ndarray, bits: np.ndarray):
+    """Places (one, many) of a spanning forest of the possible pairs of a list."""
+    left = np.arange(len(n))
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            close = possible(n[left], bits[left], n[at], bits[at])
+            if close.any():
+                yield at, left[close]
+                queue += left[close].tolist()
+                left = left[~close]
+
+
 def _pairs(batches, whole: bool):
-    """Pairs a > b of each list whose sizes allow the likeness and whose groups differ; of a long list only those with leaders, unless whole."""
-    a, b, held = [], [], 0
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=PAIRS)
-
-    for _, rows in _runs(batches, 4):
-        node, n, group = (np.array(c, dtype=np.int64) for c in list(zip(*rows))[1:])
-        for i in range(len(node) - 1 if whole or len(node) <= SHORT else LEADERS):
-            ok = (group[i + 1 :] != group[i]) & (DEN * np.minimum(n[i + 1 :], n[i]) >= NUM * np.maximum(n[i + 1 :], n[i]))
-            more = node[i + 1 :][ok]
-            if len(more):
-                a.append(more)
-                b.append(np.full(len(more), node[i]))
-                held += len(more)
-            if held > 1 << 16:
-                yield out()
-                a, b, held = [], [], 0
+    """Possible pairs a > b of each list whose groups differ; of a long list only a forest, unless whole."""
+
+    def out(some):
+        x, y = (np.concatenate(c) for c in zip(*some))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], schema=PAIRS)
+
+    some, held = [], 0
+    for key, node, n, group, bits in _blocks(batches):
+        start = np.flatnonzero(np.insert(key[1:] != key[:-1], 0, True))
+        size = np.diff(np.append(start, len(key)))
+        for i, j in side_by_side(start, size, SHORT):
+            ok = (group[i] != group[j]) & possible(n[i], bits[i], n[j], bits[j])
+            some.append((node[i[ok]], node[j[ok]]))
+            held += int(ok.sum())
+        for s, m in zip(start[size > SHORT].tolist(), size[size > SHORT].tolist()):
+            x, y, g, of = n[s : s + m], bits[s : s + m], group[s : s + m], node[s : s + m]
+            if not whole:
+                pairs = _forest(x, y)
+            elif (g == g[0]).all():
+                continue
+            else:
+                pairs = ((i, i + 1 + np.flatnonzero((g[i + 1 :] != g[i]) & possible(x[i + 1 :], y[i + 1 :], x[i], y[i]))) for i in range(m - 1))
+            for i, many in pairs:
+                if len(many):
+                    some.append((np.full(len(many), of[i]), of[many]))
+                    held += len(many)
+                if held > 1 << 16:
+                    yield out(some)
+                    some, held = [], 0
+        if held > 1 << 16:
+            yield out(some)
+            some, held = [], 0
     if held:
-        yield out()
+        yield out(some)
 
 
-def pairs(lists: DataFrame, whole: bool) -> DataFrame:
-    """lists: key, node, n, group."""
-    dealt = lists.select("key", "node", "n", "group").repartition("key").sortWithinPartitions("key", "node")
+def pairs(lists: DataFrame, bits: DataFrame, whole: bool) -> DataFrame:
+    """lists: key, node, n, group; bits: node, bits."""
+    dealt = lists.join(bits, "node").select("key", "node", "n", "group", "bits").repartition("key").sortWithinPartitions("key", "node")
     small_batches(lists.sparkSession, 10_000)
     return dealt.mapInArrow(partial(_pairs, whole=whole), "a long, b long").distinct()
 
@@ -167,11 +235,11 @@ def verified(found: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(batches):
-    """node, grams, fp: the shingles of each text and their fingerprint."""
+    """node, grams, fp, bits: the shingles of each text, their fingerprint and bitmap."""
     for b in batches:
         grams = [shingles(x) for x in b.column(1).to_pylist()]
         fp = np.array([majority(g.astype(">u8").view(np.uint8)) for g in grams], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64())), pa.array(fp)], names=["node", "grams", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64())), pa.array(fp), pa.array([bitmap(g) for g in grams], pa.binary())], names=["node", "grams", "fp", "bits"])
 
 
 def proposed(sets: DataFrame, staged: Staged) -> DataFrame:
@@ -194,15 +262,16 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
     needed = lists.select("node").distinct()
     one = texts.groupBy("node").agg(F.first("text").alias("text")).join(needed, "node", "left_semi")
     small_batches(docs.sparkSession)
-    sets = staged.put(one.select("node", F.col("text").cast("binary").alias("raw")).mapInArrow(_sets, "node long, grams array<long>, fp long"), "sets")
+    sets = staged.put(one.select("node", F.col("text").cast("binary").alias("raw")).mapInArrow(_sets, "node long, grams array<long>, fp long, bits binary"), "sets")
 
-    found = pairs(lists.withColumn("group", F.col("node")), whole=False)
+    bits = sets.select("node", "bits")
+    found = pairs(lists.withColumn("group", F.col("node")), bits, whole=False)
     tried = staged.put(proposed(sets.select("node", "fp"), staged).union(found).distinct(), "tried")
     linked = staged.put(verified(tried, sets), "links")
     roots = staged.put(components(linked, staged), "roots")
     grouped = staged.put(lists.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("group")), "grouped")
     apart = grouped.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y"), F.count("*").alias("m")).where(f"x <> y AND m > {SHORT}").select("key")
-    rest = staged.put(pairs(grouped.join(apart, "key"), whole=True).join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = staged.put(pairs(grouped.join(apart, "key"), bits, whole=True).join(tried, ["a", "b"], "left_anti"), "rest")
     more = staged.put(verified(rest, sets), "more")
     if not more.isEmpty():
         roots = staged.put(components(linked.union(more), staged), "all_roots")

@@ -127,6 +127,17 @@ def _forest(fp: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     return out
 
 
+def side_by_side(start: np.ndarray, size: np.ndarray, most: int):
+    """All pairs of places within each of the runs of at most so many, a distance at a time: arrays of the first and the second."""
+    short = (size > 1) & (size <= most)
+    left = np.repeat(size[short], size[short]) - 1  # members of the run after each one
+    place = np.arange(len(left)) - np.repeat(np.cumsum(size[short]) - size[short], size[short])
+    at, left = np.repeat(start[short], size[short]) + place, left - place
+    for lag in range(1, int(size[short].max()) if short.any() else 0):
+        some = at[left >= lag]
+        yield some, some + lag
+
+
 def _within(slot: np.ndarray, key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked fingerprints of whole posting lists that stand one after the other."""
     new = np.ones(len(fp), bool)
@@ -138,15 +149,10 @@ def _within(slot: np.ndarray, key: np.ndarray, fp: np.ndarray, max_bits: int) ->
         pairs = np.array(_forest(fp[s : s + n], max_bits), dtype=np.int64).reshape(-1, 2) + s
         a.append(fp[pairs[:, 0]])
         b.append(fp[pairs[:, 1]])
-    short = (size > 1) & (size <= SHORT)
-    left = np.repeat(size[short], size[short]) - 1  # members of the list after each one
-    place = np.arange(len(left)) - np.repeat(np.cumsum(size[short]) - size[short], size[short])
-    at, left = np.repeat(start[short], size[short]) + place, left - place
-    for lag in range(1, int(size[short].max()) if short.any() else 0):
-        some = at[left >= lag]
-        some = some[near(fp[some], fp[some + lag], max_bits)]
-        a.append(fp[some])
-        b.append(fp[some + lag])
+    for i, j in side_by_side(start, size, SHORT):
+        ok = near(fp[i], fp[j], max_bits)
+        a.append(fp[i[ok]])
+        b.append(fp[j[ok]])
     none = np.zeros(0, np.uint64)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 

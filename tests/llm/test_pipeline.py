@@ -107,6 +107,45 @@ def test_near_copies_by_likeness(spark, monkeypatch, short):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(firsts.values())
 
 
+def test_bitmaps_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 40, 300, 3000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        for share in (0.0, 0.05, 0.1, 0.3, 1.0):
+            b = a.copy()
+            b[: int(share * n)] = rng.integers(0, 2**63, int(share * n)).astype(np.uint64)
+            differ = len(set(a.tolist()) ^ set(b.tolist()))
+            x, y = (np.frombuffer(near_copies.bitmap(z), np.uint64)[None] for z in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= differ
+            if 9 * differ <= 2 * n:
+                assert near_copies.possible(np.array([n]), x, n, y).all()
+            elif 8 * differ > 2 * n * 1.5 and n <= 300:
+                assert not near_copies.possible(np.array([n]), x, n, y).any()
+
+
+def test_large_group_gives_few_pairs(spark):
+    """Hundreds of near copies around one text: verified pairs follow the members, and the groups are those of all pairs."""
+    rng, base = random.Random(3), words(random.Random(4), 120)
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for i in rng.sample(range(120), rng.randrange(5)):
+            w[i] = f"new{rng.random()}"
+        texts.append(" ".join(w))
+    sets = [five(t) for t in texts]
+    group = classes(range(300), [(i, j) for i in range(300) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    seen, plain = [], near_copies.verified
+    near_copies.verified = lambda found, sets: seen.append(found.count()) or plain(found, sets)
+    try:
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(4)
+        out = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    finally:
+        near_copies.verified = plain
+    assert sorted(r.doc_id for r in out) == sorted(set(group.values())) and sum(seen) < 10 * 300
+
+
 def test_near_duplicates_by_row(spark):
     """Rows without an id and rows that share one stay where their texts have no copy; of a group one row stays."""
     rng = random.Random(8)
