@@ -10,10 +10,11 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from ..functions.numeric import EPS, at_least, at_most, finite, sdiv, zero
 from .rolling import Rolling
@@ -175,6 +176,7 @@ def add_factors(df: DataFrame, wanted: list[str], keys=("symbol",)) -> DataFrame
     lags = {n: (m[1], int(m[2])) for n in wanted if (m := re.fullmatch(r"(.+)_lag(\d+)", n))}
     first = list(dict.fromkeys([*(n for n in wanted if n not in lags), *(b for b, _ in lags.values())]))
     spans = sorted({(EMA[f], s) for n in first for f, ws in [split_name(n)] if f in EMA for s in ws})
+    spans = [x for x in spans if f"_ema_{x[0]}_{x[1]}" not in df.columns]
     df = with_emas(df, spans, keys) if spans else df
     smooth = [split_name(n)[1][0] for n in first if n.startswith("stoch_dev_")]
     df = df.withColumns({f"_stoch_{w}": fams["stoch"](w) for w in smooth}) if smooth else df
@@ -195,7 +197,13 @@ def add_factors(df: DataFrame, wanted: list[str], keys=("symbol",)) -> DataFrame
     if lags:
         df = df.withColumns({n: F.when(F.col("bss") >= k, F.lag(b, k).over(r.series)) for n, (b, k) in lags.items()})
     drop = [b for b, _ in lags.values() if b not in wanted]
-    return df.drop(*drop, *(f"_stoch_{w}" for w in smooth), *(f"_ema_{x}_{s}" for x, s in spans))
+    return df.drop(*drop, *(f"_stoch_{w}" for w in smooth), *(c for c in df.columns if c.startswith("_ema_")))
+
+
+def ema_spans(wanted: list[str]) -> list[tuple[str, int]]:
+    """(series, span) of the exponential means that the factors need."""
+    bases = [m[1] if (m := re.fullmatch(r"(.+)_lag(\d+)", n)) else n for n in wanted]
+    return sorted({(EMA[f], s) for f, ws in map(split_name, bases) if f in EMA for s in ws})
 
 
 def with_emas(df: DataFrame, spans: list[tuple[str, int]], keys=("symbol",)) -> DataFrame:
@@ -215,32 +223,39 @@ def with_emas(df: DataFrame, spans: list[tuple[str, int]], keys=("symbol",)) ->
 
 
 def ema_in_chunks(df: DataFrame, x: str, span: int, name: str) -> DataFrame:
-    """The same mean over bars cut by in_chunks(), exact and without the whole series in one task.
+    """One exponential mean by emas_in_chunks()."""
+    return emas_in_chunks(df, [(x, span)]).withColumnRenamed(f"_ema_{x}_{span}", name)
+
+
+def emas_in_chunks(df: DataFrame, spans: list[tuple[str, int]]) -> DataFrame:
+    """The columns of with_emas() over bars cut by in_chunks(), exact and without the whole series in one task; rows of halos go.
 
-    Within a chunk the mean is a partial one plus a decayed share of what came in; what goes out of each chunk
-    is a row of a small table, chained chunk by chunk. x has no missing values.
+    Within a chunk a mean is a partial one plus a decayed share of what came in; what goes out of each chunk
+    is a row of a small table, chained chunk by chunk. The series have no missing values.
     """
-    alpha = 2 / (span + 1)
-    schema = StructType(list(df.schema.fields)).add("_part", "double").add("_decay", "double")
+    alpha = [2 / (s + 1) for _, s in spans]
+    schema = StructType(list(df.schema.fields)).add("_part", ArrayType(DoubleType())).add("_place", IntegerType())
 
     def part(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("datetime", kind="stable")
-        seeded = pd.concat([pd.Series([0.0]), pdf[x]]).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
-        return pdf.assign(_part=seeded, _decay=(1 - alpha) ** (1.0 + pd.RangeIndex(len(pdf)).to_numpy()))
+        seeded = np.column_stack([pd.concat([pd.Series([0.0]), pdf[x]]).ewm(alpha=a, adjust=False).mean().to_numpy()[1:] for (x, _), a in zip(spans, alpha)])
+        return pdf.assign(_part=list(seeded), _place=np.arange(1, len(pdf) + 1, dtype=np.int32))
 
     own = df.where(~F.col("is_halo")).groupBy("symbol", "chunk").applyInPandas(part, schema)
-    ends = own.groupBy("symbol", "chunk").agg(F.max_by(F.struct("_part", "_decay"), "datetime").alias("e"), F.min_by(x, "datetime").alias("x0"))
+    first = F.array(*(F.col(x) for x, _ in spans))
+    ends = own.groupBy("symbol", "chunk").agg(F.max_by(F.struct("_part", "_place"), "datetime").alias("e"), F.min_by(first, "datetime").alias("x0"))
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
-        out, carry = [], float(pdf["x0"].iloc[0])  # the first value starts the mean
-        for p, d in zip(pdf["_part"], pdf["_decay"]):
+        keep, out, carry = 1 - np.array(alpha), [], np.array(pdf["x0"].iloc[0], float)  # the first values start the means
+        for p, n in zip(pdf["_part"], pdf["_place"]):
             out.append(carry)
-            carry = p + d * carry
+            carry = np.asarray(p) + keep**n * carry
         return pdf.assign(carry=out)[["symbol", "chunk", "carry"]]
 
-    carry = ends.select("symbol", "chunk", "x0", "e.*").groupBy("symbol").applyInPandas(chain, "symbol string, chunk int, carry double")
-    return own.join(carry, ["symbol", "chunk"]).withColumn(name, F.col("_part") + F.col("_decay") * F.col("carry")).drop("_part", "_decay", "carry")
+    carry = ends.select("symbol", "chunk", "x0", "e.*").groupBy("symbol").applyInPandas(chain, "symbol string, chunk int, carry array<double>")
+    made = {f"_ema_{x}_{s}": F.col("_part")[i] + F.pow(F.lit(1 - alpha[i]), F.col("_place")) * F.col("carry")[i] for i, (x, s) in enumerate(spans)}
+    return own.join(carry, ["symbol", "chunk"]).withColumns(made).drop("_part", "_place", "carry")
 
 
 def _pandas_moments(f: pd.DataFrame) -> Iterator[tuple[str, pd.Series]]:
@@ -272,14 +287,19 @@ def _pandas_moments(f: pd.DataFrame) -> Iterator[tuple[str, pd.Series]]:
         yield f"pvcorr_{w}", lr.rolling(w).corr(logv)
 
 
+def wide_names() -> list[str]:
+    """The factors that wide_panel() makes."""
+    have = [f"{k}_{w}" for k in ("mom", "sharpe", "upratio", "maxret", "minret", "rv", "park") for w in WINS]
+    return have + [f"{k}_{w}" for k in ("px_sma", "bollz", "volz", "amtz", "turnover_z", "atr", "range", "illiq", "vol_flow", "amt_flow", "drawdn", "drawup", "pvcorr") for w in WINS_MID]
+
+
 def wide_panel(chunks: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """symbol, datetime and hundreds of factors at once: chunks with sessions and base_series() over (symbol, chunk).
 
     At this width sliding frames update every aggregate w times a row; one pass of running windows in Arrow batches of
     a chunk does each in constant time. Chunks bound a task's memory, whatever a symbol's share of the rows.
     """
-    have = [f"{k}_{w}" for k in ("mom", "sharpe", "upratio", "maxret", "minret", "rv", "park") for w in WINS]
-    have += [f"{k}_{w}" for k in ("px_sma", "bollz", "volz", "amtz", "turnover_z", "atr", "range", "illiq", "vol_flow", "amt_flow", "drawdn", "drawup", "pvcorr") for w in WINS_MID]
+    have = wide_names()
     wanted = have if wanted is None else [x for x in wanted if x in have]
     need = ["symbol", "chunk", "datetime", "is_halo", "bss", *sorted({"s_lr", "s_c", "s_logv", "s_loga", "s_isup", "s_lrsq", "s_loghl2", "s_turn", "s_tr", "s_rngc", "s_ill", "s_sv", "s_sa"})]
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..functions.numeric import c, finite, sdiv
 
 TINY, FLOOR = 1e-18, 1e-30
+#: More factors than this are summed by the tasks in Arrow batches.
+WIDE = 64
 
 
 def cosine_ic(pred: Column | str, label: Column | str) -> Column:
@@ -41,8 +47,11 @@ def long_form(df: DataFrame, factors: list[str], keep: list[str]) -> DataFrame:
 def sufficient_stats(df: DataFrame, factors: list[str], by: list[str] = ["month"], label: str = "label") -> DataFrame:  # noqa: B006
     """xy, xx, yy, count per group and factor: sums that add up over any split of the rows.
 
-    All factors are summed in one aggregate over the wide rows, partial in each task, and only the sums are unpivoted.
+    All factors are summed in one aggregate over the wide rows, partial in each task, and only the sums are unpivoted. For
+    more than WIDE factors, four buffers each would be too many: tasks then sum Arrow batches themselves.
     """
+    if len(factors) > WIDE:
+        return _wide_stats(df, factors, by, label)
     y = finite(label)
     aggs = []
     for f in factors:
@@ -52,6 +61,37 @@ def sufficient_stats(df: DataFrame, factors: list[str], by: list[str] = ["month"
     return df.groupBy(*by).agg(F.array(*aggs).alias("s")).select(*by, F.explode("s").alias("s")).select(*by, "s.*")
 
 
+def _wide_stats(df: DataFrame, factors: list[str], by: list[str], label: str) -> DataFrame:
+    rows = df.select(*(F.col(b).alias(f"_by_{i}") for i, b in enumerate(by)), finite(label).cast("double").alias("_y"), *(finite(f).cast("double").alias(f"_x_{i}") for i, f in enumerate(factors)))
+    groups = [x for x in rows.schema.fields if x.name.startswith("_by_")]
+    schema = StructType([*groups, *(StructField(k, ArrayType(DoubleType())) for k in ("xy", "xx", "yy")), StructField("n", ArrayType(LongType()))])
+
+    def run(batches):
+        sums: dict = {}
+        for b in batches:
+            keys = list(zip(*(c.to_pylist() for c in b.columns[: len(groups)])))
+            names = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            place = np.fromiter((names[k] for k in keys), np.int64, len(keys))
+            y = b.column(len(groups)).to_numpy(zero_copy_only=False).astype(float)
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[len(groups) + 1 :]])
+            ok = ~np.isnan(x) & ~np.isnan(y)[:, None]
+            x, y = np.where(ok, x, 0.0), np.where(np.isnan(y), 0.0, y)[:, None]
+            for k, i in names.items():
+                m = place == i
+                got = np.stack([(x[m] * y[m]).sum(0), (x[m] ** 2).sum(0), (ok[m] * y[m] ** 2).sum(0), ok[m].sum(0)])
+                sums[k] = sums[k] + got if k in sums else got
+        if sums:
+            cols = [pa.array(c, t) for c, t in zip(zip(*sums), kinds)]
+            values = [pa.array([list(v[i]) for v in sums.values()], pa.list_(pa.float64())) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*cols, *values, pa.array([v[3].astype(np.int64).tolist() for v in sums.values()], pa.list_(pa.int64()))], names=schema.names)
+
+    kinds = [to_arrow_type(x.dataType) for x in groups]
+    parts = rows.mapInArrow(run, schema).select(*(x.name for x in groups), F.posexplode(F.arrays_zip("xy", "xx", "yy", "n")).alias("j", "s"))
+    total = parts.groupBy(*(x.name for x in groups), "j").agg(*(F.sum(f"s.{k}").alias(k) for k in ("xy", "xx", "yy", "n")))
+    kept = (F.when(F.col("n") > 0, F.col(k)).alias(k) for k in ("xy", "xx", "yy"))
+    return total.select(*(F.col(x.name).alias(b) for x, b in zip(groups, by)), F.get(F.array(*map(F.lit, factors)), F.col("j")).alias("factor"), *kept, F.col("n").alias("count"))
+
+
 def merge_stats(stats: DataFrame, prefix: str = "", by: list[str] = ["factor"]) -> DataFrame:  # noqa: B006
     """IC, rows and the share of the best covered factor, from sums of any grain. A factor without spread has IC 0."""
     s = stats.groupBy(*by).agg(*(F.sum(F.coalesce(F.col(k), F.lit(0))).alias(k) for k in ("xy", "xx", "yy", "count")))

@@ -6,11 +6,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.numeric import zero
+from ..functions.numeric import EPS, finite, sdiv, zero
 from .backtest import pred_xsz_ic
 from .linalg import gram
 from .sampling import lot, uniform
@@ -18,6 +19,13 @@ from .sampling import lot, uniform
 LEAST_STD = 1e-6
 
 
+def total(terms: list[Column]) -> Column:
+    """Their sum as a balanced tree: a thousand terms are ten deep."""
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + (terms[-1:] if len(terms) % 2 else [])
+    return terms[0]
+
+
 @dataclass
 class Ridge:
     """Weights of standardised features; missing values count as 0 before they are standardised."""
@@ -32,10 +40,7 @@ class Ridge:
     def predict(self) -> Column:
         """The prediction as a plain column, so scoring stays in the JVM."""
         w = self.weights / self.std
-        total = F.lit(float(self.intercept - (w * self.mean).sum()))
-        for f, x in zip(self.features, w):
-            total = total + zero(f) * F.lit(float(x))
-        return total
+        return total([F.lit(float(self.intercept - (w * self.mean).sum())), *(zero(f) * F.lit(float(x)) for f, x in zip(self.features, w))])
 
 
 def fit_ridge(df: DataFrame, features: list[str], alpha: float = 10.0, top_k: int | None = None, label: str = "label") -> Ridge:
@@ -60,14 +65,47 @@ def fit_ridge(df: DataFrame, features: list[str], alpha: float = 10.0, top_k: in
 def leave_one_out(df: DataFrame, model: Ridge, label: str = "label") -> DataFrame:
     """factor, base_ic, drop_ic, delta: the cross-sectional IC of the model refitted without one factor, for each factor.
 
-    A refit without factor j moves the prediction by (x K^-1)_j w_j / K^-1_jj, so all refits are columns of one plan.
+    A refit without factor j moves the prediction by (x K^-1)_j w_j / K^-1_jj, so all refits of a batch of rows are one
+    matrix product. Rows are dealt by time; a task adds up its times and hands on one row of sums for each factor.
     """
-    z = [(zero(f) - F.lit(float(m))) / F.lit(float(s)) for f, m, s in zip(model.features, model.mean, model.std)]
-    out = df.withColumn("_base", model.predict())
-    for j in range(len(model.features)):
-        shift = sum((x * F.lit(float(k)) for x, k in zip(z, model.inverse[:, j])), F.lit(0.0))
-        out = out.withColumn(f"_drop_{j}", F.col("_base") - shift * F.lit(float(model.weights[j] / model.inverse[j, j])))
-    return _effects(out, model.features, label)
+    k, given = len(model.features), df.sparkSession.sparkContext.broadcast((model.mean, model.std, model.weights, model.intercept, model.inverse))  # features x features
+
+    def sums(time: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """4 x (k + 1): xy, xx, yy and rows of whole times in order."""
+        mean, std, weights, intercept, inverse = given.value
+        z = (x - mean) / std
+        base = intercept + z @ weights
+        p = np.column_stack([base, base[:, None] - (z @ inverse) * (weights / np.diag(inverse))])
+        start = np.flatnonzero(np.insert(time[1:] != time[:-1], 0, True))
+        n = np.diff(np.append(start, len(time)))
+        p = p - np.repeat(np.add.reduceat(p, start) / n[:, None], n, axis=0)
+        ss, sxy = np.add.reduceat(p * p, start), np.add.reduceat(p * y[:, None], start)
+        sd = np.sqrt(ss / np.maximum(n - 1, 1)[:, None])
+        ok = (n >= 2)[:, None] & (sd > 1e-12)
+        scale = sd + EPS
+        return np.stack([np.where(ok, v, 0).sum(axis=0) for v in (sxy / scale, ss / scale**2, np.add.reduceat(y * y, start)[:, None] + 0 * sd, n[:, None] + 0 * sd)])
+
+    def run(batches):
+        out, held = np.zeros((4, k + 1)), []
+        for b in batches:
+            cols = [b.column(0).cast(pa.int64()).to_numpy(), b.column(1).to_numpy(), np.column_stack([c.to_numpy() for c in b.columns[2:]])]
+            if not len(cols[0]):
+                continue
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if last or (held and held[-1][0][-1] != cols[0][0]):
+                out += sums(*(np.concatenate(c) for c in zip(*held, [c[:last] for c in cols])))
+                held = []
+            held.append([c[last:] for c in cols])
+        if held:
+            out += sums(*(np.concatenate(c) for c in zip(*held)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + 1), pa.int32()), *map(pa.array, out)], names=["j", "xy", "xx", "yy", "n"])
+
+    rows = df.where(finite(label).isNotNull()).select("datetime", finite(label).alias("_y"), *(zero(f).alias(f) for f in model.features))
+    parts = rows.repartition("datetime").sortWithinPartitions("datetime").mapInArrow(run, "j int, xy double, xx double, yy double, n double")
+    ics = parts.groupBy("j").agg(*(F.sum(c).alias(c) for c in ("xy", "xx", "yy"))).select("j", sdiv(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy"))).alias("ic"))
+    base = ics.where("j = 0").select(F.col("ic").alias("base_ic"))
+    each = ics.where("j > 0").select(F.get(F.array(*map(F.lit, model.features)), F.col("j") - 1).alias("factor"), F.col("ic").alias("drop_ic"))
+    return each.join(F.broadcast(base)).withColumn("delta", F.col("base_ic") - F.col("drop_ic"))  # one row by one row a factor
 
 
 def _effects(df: DataFrame, features: list[str], label: str) -> DataFrame:

@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import backtest, expressions, factors, ic, models, sampling, scorecard, sessions, views
-from ..sources import reports, store
+from ..sources import bars, reports, store
 from ..sources.store import Config, FactorSpec, FactorStore
 
 
-def build_panel(bars: DataFrame, spec: FactorSpec, start: str | None = None, end: str | None = None, gap_minutes: float = sessions.LONG_BREAK, horizon: int = sessions.HORIZON, blank: int = sessions.BLANK_BARS) -> DataFrame:
+#: Rows of a symbol's series that one task works on, and rows before them that its windows look back on.
+CHUNK_ROWS, HALO = 50_000, 400
+#: From so many factors on those that wide_panel() makes come from it.
+WIDE_FROM = 100
+
+
+def with_factors(labelled: DataFrame, wanted: list[str], chunk_rows: int = CHUNK_ROWS, wide_from: int = WIDE_FROM) -> DataFrame:
+    """Adds the factors to labelled bars. Series are cut into chunks, so a symbol of any share of the rows is spread over tasks;
+    exponential means are carried over chunks; many factors at once are made in Arrow batches."""
+    keys, cut = ("symbol", "chunk"), lambda df: bars.in_chunks(df, chunk_rows, HALO)
+    df = factors.base_series(cut(labelled), keys)
+    if spans := factors.ema_spans(wanted):
+        own = factors.emas_in_chunks(df, spans).drop("chunk", "is_halo", "idx")
+        df = cut(own)
+    can = set(factors.wide_names())
+    many = [x for x in wanted if x in can]
+    many = many if len(many) >= wide_from else []
+    out = factors.add_factors(df, [x for x in wanted if x not in set(many)], keys).where(~F.col("is_halo"))
+    if many:
+        out = out.join(factors.wide_panel(df, many), ["symbol", "datetime"])
+    return out.drop("chunk", "is_halo", "idx")
+
+
+def build_panel(
+    rows: DataFrame, spec: FactorSpec, start: str | None = None, end: str | None = None, gap_minutes: float = sessions.LONG_BREAK, horizon: int = sessions.HORIZON, blank: int = sessions.BLANK_BARS,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
     """Sessions, labels, factors and trailing views of bars; the half-open date range is cut after the factors and before
     the trailing views, which so warm up within it."""
     known = set(factors.names())
-    df = factors.base_series(sessions.labels(sessions.sessions(bars, gap_minutes), horizon, blank))
     wanted = [b for b in dict.fromkeys([*spec.raw, *spec.tsz, *spec.csz, *spec.csr]) if b in known]
-    df = factors.add_factors(df, wanted)
+    df = with_factors(sessions.labels(sessions.sessions(rows, gap_minutes), horizon, blank), wanted, chunk_rows)
     if start:
         df = df.where(F.col("datetime") >= F.lit(start).cast("timestamp_ntz"))
     if end:
@@ -26,12 +53,13 @@ def build_panel(bars: DataFrame, spec: FactorSpec, start: str | None = None, end
     return df.select(*meta, *(F.col(x).cast("float").alias(x) for x in wanted), *(v.cast("float").alias(k) for k, v in tsz.items()))
 
 
-def build_partitions(spark: SparkSession, bars: DataFrame, conf: Config, spec: FactorSpec, **kw) -> None:
-    store.write_panel(build_panel(bars.where(~F.col("symbol").isin(list(conf.excluded))), spec, horizon=conf.horizon, **kw), conf.panel)
+def build_partitions(spark: SparkSession, rows: DataFrame, conf: Config, spec: FactorSpec, overwrite: bool = True, **kw) -> None:
+    """Without overwrite, months that are there stay and the build goes on with the others."""
+    store.write_panel(build_panel(rows.where(~F.col("symbol").isin(list(conf.excluded))), spec, horizon=conf.horizon, **kw), conf.panel, overwrite)
 
 
-def materialize_final(spark: SparkSession, conf: Config, spec: FactorSpec, path: str) -> None:
-    store.write_final(FactorStore(spark, conf.panel, spec).read(), path)
+def materialize_final(spark: SparkSession, conf: Config, spec: FactorSpec, path: str, start: str | None = None, end: str | None = None) -> None:
+    store.write_final(FactorStore(spark, conf.panel, spec).read(start, end), path)
 
 
 def audit_data(st: FactorStore, conf: Config) -> DataFrame:
@@ -146,11 +174,12 @@ def scorecard_size(target: int, prefiltered: int) -> int:
     return min(prefiltered, max(3_000, 25 * target))
 
 
-def mine_expressions(panel: DataFrame, scores: DataFrame, library: list[str], conf: Config, target: int = 100, rows_per_month: int = 3000, max_seeds: int = 80, max_pairs: int = 500, rounds: int = 5) -> DataFrame:
-    """Candidates from seeds, prefiltered and scored on a sample of whole cross-sections of the training range, then the unlike
-    best of them. Seeds and pairs grow from round to round until there are target factors; too few after the last is an error."""
-    train = sampling.sample_times(panel.where(F.col("month").between(conf.is_start, conf.is_end)), rows_per_month, conf.seed).persist()
-    spark, t = panel.sparkSession, scorecard.Thresholds()
+def mine_expressions(panel: DataFrame, scores: DataFrame, library: list[str], conf: Config, target: int = 100, rows_per_month: int = 1200, max_seeds: int = 80, max_pairs: int = 500, rounds: int = 6, scorecard_rows: int = 3000) -> DataFrame:
+    """Candidates from seeds, prefiltered on a sample of whole cross-sections of the training range and scored on a larger one,
+    then the unlike best of them. Seeds and pairs grow from round to round until there are target factors; too few after the last is an error."""
+    rows = panel.where(F.col("month").between(conf.is_start, conf.is_end))
+    train, more = (sampling.sample_times(rows, n, conf.seed).persist() for n in (rows_per_month, scorecard_rows))
+    t = scorecard.Thresholds()
     for k in range(rounds):
         table = expressions.candidates(scores, max_seeds + 20 * k, max_pairs + 250 * k)
         exprs = [r.asDict() for r in table.collect()]
@@ -160,8 +189,9 @@ def mine_expressions(panel: DataFrame, scores: DataFrame, library: list[str], co
         best = ic.prefilter(ic.block_stats(made, names), table, top).orderBy(F.desc("abs_is_ic"), "name").limit(scorecard_size(target, top))
         kept = [r["name"] for r in best.select("name").collect()]
         if kept:
-            frame = scorecard.sample_frame(made)
-            cards = scorecard.scorecard(made, kept, library).join(best.select("name", "op", "left", "right", "formula", "is_ic", "oos_ic", "same_sign"), "name")
+            scored = expressions.evaluate(more, [e for e in exprs if e["name"] in set(kept)])
+            frame = scorecard.sample_frame(scored)
+            cards = scorecard.scorecard(scored, kept, library).join(best.select("name", "op", "left", "right", "formula", "is_ic", "oos_ic", "same_sign"), "name")
             cards = cards.withColumns({"selection_ic": F.col("is_ic"), "same_sign": F.coalesce(F.signum("pearson_ic") == F.signum("is_ic"), F.lit(False))})
             judged = scorecard.select_unlike(scorecard.judged(cards, t).persist(), frame, {e["name"]: e["op"] for e in exprs}, target, t, pool=max(800, scorecard_size(target, top)), max_per_op=max(50, target)).persist()
             if judged.where("selected").count() >= target:
@@ -192,5 +222,34 @@ def deltas(summary: DataFrame, base: str, other: str) -> DataFrame:
     return wide.withColumn("delta", F.col(other) - F.col(base))
 
 
+#: Result tables that a report reads, in its order.
+RESULTS = ("audit", "factor_scores", "baseline_summary", "baseline_backtest", "incremental", "expressions")
+
+
+def stored_results(spark: SparkSession, conf: Config) -> dict[str, DataFrame]:
+    """What commands have written under the output, without computing any of it again, and the numbers of the report's figures:
+    monthly ICs of the stored predictions, the cumulated long-short return, ICs by model and by feature set."""
+    read = lambda name: spark.read.csv(f"{conf.output}/{name}", header=True, inferSchema=True)
+    out = {k: read(k) for k in RESULTS if store.exists(spark, f"{conf.output}/{k}")}
+    if not out:
+        raise ValueError(f"no results under {conf.output}")
+    path = f"{conf.output}/baseline_predictions"
+    if store.exists(spark, path):
+        preds = spark.read.parquet(path)
+        out["figure_monthly_ic"] = preds.groupBy("model", F.col("month").cast("string").alias("month")).agg(ic.cosine_ic("pred", "label").alias("ic")).orderBy("model", "month")
+        months = []
+        for m in sorted(r.model for r in preds.select("model").distinct().collect()):
+            legs = backtest.long_short(preds.where(F.col("model") == m), "pred").groupBy(ic.month().alias("month")).agg(F.sum("ls_return").alias("ls_return")).withColumn("model", F.lit(m))
+            months.append(legs)
+        if months:
+            legs = reduce(DataFrame.unionByName, months)
+            upto = Window.partitionBy("model").orderBy("month")  # a row a month
+            out["figure_cumulated_return"] = legs.select("model", "month", "ls_return", F.sum("ls_return").over(upto).alias("cum_return")).orderBy("model", "month")
+    for name, table, by in (("figure_ic_by_model", "baseline_summary", ["model"]), ("figure_ic_by_feature_set", "incremental", ["feature_set", "model"])):
+        if table in out:
+            out[name] = out[table].select(*by, "pred_col", "ic_total_range").orderBy(*by, "pred_col")
+    return out
+
+
 def run_report(parts: dict[str, DataFrame], title: str = "Factor research") -> str:
     return reports.report(title, parts)

@@ -87,9 +87,19 @@ def write_list(spark: SparkSession, path: str, names: list[str]) -> None:
     spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def write_panel(panel: DataFrame, path: str, overwrite: bool = True) -> None:
-    """Month partitions; the rows of a month are dealt to files by symbol, so no task writes a whole month."""
+    """Month partitions; the rows of a month are dealt to files by symbol, so no task writes a whole month.
+
+    Without overwrite, months that the panel has already stay as they are and only the others are added."""
     rows = panel.withColumn("month", F.date_format("datetime", "yyyy-MM"))
+    if not overwrite and exists(panel.sparkSession, path):
+        there = [str(r.month) for r in panel.sparkSession.read.parquet(path).select(F.col("month").cast("string").alias("month")).distinct().collect()]
+        rows = rows.where(~F.col("month").isin(there))
     rows.repartition("month", "symbol").write.mode("overwrite" if overwrite else "append").partitionBy("month").option("compression", "zstd").parquet(path)
 
 
@@ -104,15 +114,23 @@ class FactorStore:
     def __init__(self, spark: SparkSession, path: str, spec: FactorSpec, filter_first: bool = False):
         self.spark, self.path, self.spec, self.filter_first = spark, path, spec, filter_first
 
-    def scan(self) -> DataFrame:
+    def scan(self, start: str | None = None, end: str | None = None) -> DataFrame:
+        """Whole months from start to end: a filter on the partition column, or half-open bounds of datetime in the other
+        layout, which reach the scan and prune its row groups."""
         df = self.spark.read.parquet(self.path)
-        return df.withColumn("month", F.col("month").cast("string") if "month" in df.columns else F.date_format("datetime", "yyyy-MM"))
+        if "month" in df.columns:
+            return self._between(df.withColumn("month", F.col("month").cast("string")), start, end)
+        first = lambda m, k: F.lit(f"{int(m[:4]) + (int(m[5:7]) - 1 + k) // 12:04d}-{(int(m[5:7]) - 1 + k) % 12 + 1:02d}-01").cast(df.schema["datetime"].dataType)
+        if start:
+            df = df.where(F.col("datetime") >= first(start, 0))
+        if end:
+            df = df.where(F.col("datetime") < first(end, 1))
+        return df.withColumn("month", F.date_format("datetime", "yyyy-MM"))
 
     def months(self, start: str | None = None, end: str | None = None) -> list[str]:
-        return sorted(r.month for r in self._between(self.scan(), start, end).select("month").distinct().collect())
+        return sorted(r.month for r in self.scan(start, end).select("month").distinct().collect())
 
     def _between(self, df: DataFrame, start: str | None, end: str | None) -> DataFrame:
-        """Whole months from start to end: a filter on the partition column, or on datetime in the other layout."""
         if start:
             df = df.where(F.col("month") >= start[:7])
         return df.where(F.col("month") <= end[:7]) if end else df
@@ -121,7 +139,7 @@ class FactorStore:
         """META, month and the wanted factors, views across symbols worked out on the way. Symbols are taken after the
         cross-section, or before it with filter_first, which changes the cross-section."""
         spec = self.spec.subset(columns)
-        df = self._between(self.scan(), start, end)
+        df = self.scan(start, end)
         meta = [x for x in META if x in df.columns]
         have = [b for b in spec.bases() if b in df.columns]
         df = df.select(*meta, "month", *(b for b in have if b not in meta))
@@ -163,10 +181,13 @@ def as_json(conf: Config) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share, under spark.checkpoint.dir; set here only where it is unset."""
+    """A fresh folder that driver and executors share, under spark.checkpoint.dir. Only a master on one machine may leave it unset."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/factorloom"
+    root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not root and not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    root = root or "file:///tmp/checkpoints/factorloom"
     return f"{root.rstrip('/')}/factorloom-{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -193,8 +214,7 @@ def load_backtests(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Backtest summaries written as JSON, one row a name; names without a file are left out."""
     out = None
     for name, path in paths.items():
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        if exists(spark, path):
             one = spark.read.json(path).withColumn("name", F.lit(name))
             out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out if out is not None else spark.createDataFrame([], "name string")

@@ -416,15 +416,24 @@ def test_commands(spark, tmp_path):
     base = ["--config", str(tmp_path / "c.json"), "--factors", str(tmp_path / "f.txt")]
     do = lambda *a: cli.run(spark, cli.parser().parse_args([*base, *a]))
     assert do("build-partitions", "--raw", str(raw)) == {}
+    assert do("build-partitions", "--raw", str(raw)) == {}  # what is there stays
     assert do("audit-data")["audit"].first().symbols == 4
     assert do("mine-factors")["factor_scores"].count() == 3
-    got = do("run-all")
+    got = do("run-all", "--skip-trees")
     assert {"audit", "factor_scores", "baseline_summary", "baseline_backtest", "incremental"} <= set(got)
     cli.main([*base, "audit-data"])
     reports.write_predictions(got["baseline_predictions"], str(tmp_path / "p"))
     assert do("backtest", "--predictions", str(tmp_path / "p"), "--pred-col", "pred")["backtest"].count() == 1
     do("materialize-final", "--path", str(tmp_path / "final"))
     assert spark.read.parquet(str(tmp_path / "final")).count() == 800
+    do("materialize-final", "--path", str(tmp_path / "none"), "--start", "2020-02", "--end", "2020-03")
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+    (tmp_path / "one.txt").write_text("mom_5\n")
+    cli.main([*base, "baseline", "--feature-file", str(tmp_path / "one.txt")])
+    told = do("report")
+    assert {"audit", "baseline_summary", "baseline_backtest", "figure_monthly_ic", "figure_cumulated_return", "figure_ic_by_model"} <= set(told)
+    assert all(told[k].count() > 0 for k in ("audit", "baseline_summary", "figure_monthly_ic", "figure_ic_by_model"))
+    assert set(do("baseline", "--feature-file", str(tmp_path / "one.txt"), "--name", "few")) == {"few_predictions", "few_summary", "few_backtest"}
 
 
 def test_csv_bars(spark, tmp_path):
@@ -441,6 +450,75 @@ def test_numeric_rules(spark):
     assert all(tuple(r)[:4] == (None, 0.0, None, 0.0) for r in got[1:])
 
 
+def test_final_panel_prunes_by_time(spark, tmp_path, frame):
+    path = str(tmp_path / "final")
+    store.write_final(frame.select("symbol", "datetime", "label"), path)
+    df = store.FactorStore(spark, path, store.FactorSpec.of([])).scan("2017-01", "2019-12")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "GreaterThanOrEqual(datetime,2017-01-01" in pushed and "LessThan(datetime,2020-01-01" in pushed
+
+
+def test_panel_in_chunks(spark):
+    """All kinds of factors over a symbol that has half of the rows: chunks and Arrow batches give what whole series give."""
+    df = made(spark, 1500, ("aa1",)).unionByName(made(spark, 500, ("bb2", "cc3", "dd4")))
+    names = ["mom_5", "rv_21", "px_sma_233", "ema_diff_3_13", "macd_21_180", "vwap_macd_5_55", "stoch_dev_55", "mom_13_lag5", "cpos", "oi_chg", "vol_regime", "rsi_21", "pvcorr_34", "mom_288"]
+    labelled = sessions.labels(sessions.sessions(df))
+    want = factors.add_factors(factors.base_series(labelled), names).select("symbol", "datetime", *names).toPandas().sort_values(["symbol", "datetime"]).reset_index(drop=True)
+    for wide in (1, 10**6):
+        got = workflows.with_factors(labelled, names, chunk_rows=450, wide_from=wide).select("symbol", "datetime", *names).toPandas().sort_values(["symbol", "datetime"]).reset_index(drop=True)
+        assert len(got) == len(want) == 3000
+        for n in names:
+            np.testing.assert_allclose(got[n].astype(float), want[n].astype(float), rtol=1e-6, atol=1e-9, err_msg=n)
+
+
+def test_wide_sums(spark, frame, monkeypatch):
+    from factorloom.operators import ic
+
+    df = factors.add_factors(frame, ["mom_5", "rv_21", "cpos"]).withColumn("month", F.date_format("datetime", "yyyy-MM")).withColumn("none", F.lit(None).cast("double"))
+    rows = lambda: {(r.month, r.factor): tuple(r[k] for k in ("xy", "xx", "yy", "count")) for r in ic.sufficient_stats(df, ["mom_5", "rv_21", "cpos", "none"]).collect()}
+    want = rows()
+    monkeypatch.setattr(ic, "WIDE", 2)
+    got = rows()
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-9) if want[k][3] else got[k] == want[k]
+
+
+def test_wide_models(spark):
+    """Many features: leave-one-out and scoring by matrix products equal refits and sums."""
+    rng = np.random.default_rng(3)
+    k, n = 80, 800
+    x = rng.normal(size=(n, k))
+    y = x[:, 0] - x[:, 1] * 0.5 + rng.normal(size=n)
+    cols = [f"f{i}" for i in range(k)]
+    import pandas as pd
+
+    pdf = pd.DataFrame(x, columns=cols).assign(label=y, symbol=[f"s{i % 8}" for i in range(n)], datetime=[DAY0 + timedelta(days=i // 8) for i in range(n)])
+    df = spark.createDataFrame(pdf).withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
+    m = models.fit_ridge(df, cols)
+    got = {r.factor: r for r in models.leave_one_out(df, m).collect()}
+    assert len(got) == k and got["f0"].delta > 0.05
+    rest = models.fit_ridge(df, cols[1:])
+    assert got["f0"].drop_ic == pytest.approx(backtest.pred_xsz_ic(df.withColumn("p", rest.predict()), ["p"]).first().ic, abs=1e-9)
+    scored = df.select("f0", m.predict().alias("p")).orderBy("f0").toPandas()["p"].to_numpy()
+    z = (x - m.mean) / m.std
+    np.testing.assert_allclose(scored, (m.intercept + z @ m.weights)[np.argsort(x[:, 0])], atol=1e-9)
+
+
+def test_entry_without_a_package(monkeypatch):
+    """Where a package of the training-data queries is missing, the others are still there."""
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [x for x in sys.modules if x.startswith("factorloom.llm") or x == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    names = entry.queries()
+    assert "ic_monthly_momentum" in names and not any(x.startswith("op1") for x in names)
+
+
 def test_mining_loop_raises(spark, frame):
     df = factors.add_factors(frame, ["mom_5", "cpos", "volz_6"]).withColumn("month", F.lit("2017-01"))
     scores = spark.createDataFrame([("mom_5", 0.1, 0.1), ("cpos", 0.2, 0.1), ("volz_6", 0.05, -0.1)], "factor string, is_ic double, oos_ic double")
