@@ -135,8 +135,8 @@ def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], parts: in
     tops = tops.orderBy(F.desc("_bucket")).collect()  # 3 n rows at most
     after = {b._bucket: tops[(i + 1) % len(tops)]._bucket for i, b in enumerate(tops)}
     order = F.struct(F.col(key).isNotNull(), number, F.md5(F.col(tie).cast("binary")))
-    dealt = rows.withColumn("_bucket", bucket)
-    found = dealt.withColumn("_next", F.lead(F.struct(*columns)).over(Window.partitionBy("_bucket").orderBy(order.desc())))
+    dealt = rows.withColumns({"_bucket": bucket, "_tie": F.md5(F.col(tie).cast("binary"))})
+    found = dealt.withColumn("_next", F.lead(F.struct(*columns)).over(Window.partitionBy("_bucket").orderBy(F.col(key).desc_nulls_last(), F.col("_tie").desc())))
     head = dealt.where(number.isin([b.top for b in tops])).groupBy("_bucket").agg(F.max_by(F.struct(*columns), order).alias("_head"))
     before = {a: b for b, a in after.items()}
     if before:
