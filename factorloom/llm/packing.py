@@ -24,8 +24,9 @@ from .common import Staged, small_batches, worker_state
 
 CAPACITY = 2048
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Parts of texts kept per worker; the cache is emptied when it is full.
-CACHE = 1_200_000
+#: Parts of texts kept per worker, also while it idles; the cache is emptied when it is full. Six times as many take 170 MB more and save a fifth
+#: of the time.
+CACHE = 200_000
 #: Signs that never join the letters before them in one token.
 SIGNS = ".,;:!?#$%&*()[]"
 WORD_END = "</w>"
