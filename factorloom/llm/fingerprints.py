@@ -111,15 +111,17 @@ def _bucket_of(x: Column, cuts: list[int]) -> Column:
     return F.when(x.isNotNull(), fine)
 
 
-def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], parts: int | None = None) -> DataFrame:
+def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], parts: int | None = None, made: dict[str, Column] | None = None) -> DataFrame:
     """Adds next_<column>: the value in the row that follows by descending key, then MD5 of tie; the first row's for the last one.
 
     No task sees all rows. Ranges of the key, cut at its quantiles, are windows of their own; a key (or the lack of one) that fills
     ranges by itself is cut into as many of MD5. The head of each range, one row a range and found by its key alone,
-    closes the gap after the range before. Null keys come last.
+    closes the gap after the range before. Null keys come last. Columns to be made of a row alone, which may be among `columns`,
+    are made once the rows are dealt and sorted, so only what they come from is shuffled.
     """
     spark = rows.sparkSession
-    n = 4 * (parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = 4 * tasks
     none = -(1 << 63)
     number = F.coalesce(F.col(key), F.lit(none))
     quantiles = rows.agg(F.percentile_approx(number, [i / n for i in range(1, n)], 4 * n)).first()[0] or []  # n - 1 numbers
@@ -136,14 +138,16 @@ def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], parts: in
     after = {b._bucket: tops[(i + 1) % len(tops)]._bucket for i, b in enumerate(tops)}
     order = F.struct(F.col(key).isNotNull(), number, F.md5(F.col(tie).cast("binary")))
     dealt = rows.withColumns({"_bucket": bucket, "_tie": F.md5(F.col(tie).cast("binary"))})
-    found = dealt.withColumn("_next", F.lead(F.struct(*columns)).over(Window.partitionBy("_bucket").orderBy(F.col(key).desc_nulls_last(), F.col("_tie").desc())))
-    head = dealt.where(number.isin([b.top for b in tops])).groupBy("_bucket").agg(F.max_by(F.struct(*columns), order).alias("_head"))
+    falling = [F.col(key).desc_nulls_last(), F.col("_tie").desc()]
+    sorted_ = dealt.repartition(tasks, "_bucket").sortWithinPartitions("_bucket", *falling).withColumns(made or {})
+    found = sorted_.withColumn("_next", F.lead(F.struct(*columns)).over(Window.partitionBy("_bucket").orderBy(*falling)))
+    head = dealt.where(number.isin([b.top for b in tops])).withColumns(made or {}).groupBy("_bucket").agg(F.max_by(F.struct(*columns), order).alias("_head"))
     before = {a: b for b, a in after.items()}
     if before:
         closes = F.element_at(F.map_from_arrays(F.lit(list(before)), F.lit(list(before.values()))), F.col("_bucket"))
         head = head.select(closes.alias("_bucket"), "_head")
     named = F.coalesce("_next", "_head")
-    return found.join(head, "_bucket", "left").select(*rows.columns, *(named[c].alias(f"next_{c}") for c in columns))
+    return found.join(head, "_bucket", "left").select(*rows.columns, *(made or {}), *(named[c].alias(f"next_{c}") for c in columns))
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,8 +159,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, id_co
     An empty table gives no rows; columns other than the id and the text are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("prints", fingerprint(F.col("text"), k, window))
-    x = with_next(rows, "doc_id", "text", ["text", "prints"])
+    x = with_next(rows, "doc_id", "text", ["text", "prints"], made={"prints": fingerprint(F.col("text"), k, window)})
     n = F.char_length("text")
     half = (n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
