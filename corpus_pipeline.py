@@ -17,6 +17,8 @@ from factorloom.llm.spans import let
 #: Language ID rejects texts without a letter and those whose best language is less likely than this. Short notes and
 #: texts in two languages come near one half, so the bound is lower: what no language explains.
 LEAST_SCORE = 0.35
+#: Parts of texts that a worker's encoder keeps: few, as its memory stays while other stages run.
+CACHE = 200_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in the training sequences."""
-    return packing.best_fit_pack(docs, tokenizer_path())
+    return packing.best_fit_pack(docs, tokenizer_path(), cache=CACHE)
 
 
 STAGES = [
