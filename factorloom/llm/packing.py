@@ -10,7 +10,9 @@ its best packing to the next one. The winner's bins are then dealt out to the pi
 from __future__ import annotations
 
 import bisect
+import functools
 import json
+import operator
 import zlib
 from collections import Counter
 
@@ -35,8 +37,8 @@ WORD_END = "</w>"
 class Encoder:
     """Texts -> little-endian unsigned 32-bit ids. A vocabulary without word ends encodes whole texts.
 
-    With word ends, which drop white space: no token and no normalisation of such a vocabulary reaches across a space, so each part between spaces is
-    encoded once. A part of letters and signs is its word and its signs; new words are encoded many at once and told
+    With word ends, which drop white space: no token and no normalisation of such a vocabulary reaches across a space or a line end, so each
+    part between these is encoded once. A part of letters and signs is its word and its signs; new words are encoded many at once and told
     apart by their word ends. Any other part goes to the tokenizer by itself.
     """
 
@@ -104,7 +106,7 @@ class Encoder:
             self.known.clear()
         get = self.known.get
         # Lower case first leaves fewer parts; not where the tokenizer would see other letters or a special token.
-        split = [(t if "\u03a3" in t or "<|" in t else t.lower()).split(" ") for t in texts]
+        split = [(t if "\u03a3" in t or "<|" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
         found = [[*map(get, x)] for x in split]
         gaps = [[i for i, v in enumerate(f) if v is None] if None in f else () for f in found]
         new = {x[i] for x, g in zip(split, gaps) for i in g}
@@ -147,6 +149,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 Packing = dict[tuple[int, ...], int]
 
 
+@functools.lru_cache(1 << 16)
+def shape(pattern: tuple[int, ...]) -> tuple[int, tuple[tuple[int, int], ...]]:
+    """The length of a bin's pieces, and how often it holds each; most patterns outlive many generations."""
+    return sum(pattern), tuple(Counter(pattern).items())
+
+
+def fullest_first(x: Packing) -> list[tuple[int, ...]]:
+    return sorted(x, key=lambda p: (-shape(p)[0], p))
+
+
 def best_fit(left: dict[int, int], capacity: int, bins: Packing | None = None) -> Packing:
     """Places the counted lengths, longest first, each in the open bin with the least room that holds it.
 
@@ -155,7 +167,7 @@ def best_fit(left: dict[int, int], capacity: int, bins: Packing | None = None) -
     out: Counter = Counter()
     open_: dict[int, list] = {}
     for p, m in (bins or {}).items():
-        room = capacity - sum(p)
+        room = capacity - shape(p)[0]
         if room:
             open_.setdefault(room, []).append([p, m])
         else:
@@ -202,7 +214,7 @@ def best_fit(left: dict[int, int], capacity: int, bins: Packing | None = None) -
 
 def fitness(x: Packing, capacity: int) -> tuple[int, float]:
     """Fewer bins first, then bins filled unevenly, which leaves large gaps to use."""
-    return -sum(x.values()), sum(m * (sum(p) / capacity) ** 2 for p, m in x.items())
+    return -sum(x.values()), sum(m * (shape(p)[0] / capacity) ** 2 for p, m in x.items())
 
 
 def crossover(a: Packing, b: Packing, hist: dict[int, int], capacity: int, rng: np.random.Generator) -> Packing:
@@ -210,18 +222,18 @@ def crossover(a: Packing, b: Packing, hist: dict[int, int], capacity: int, rng:
     left, child = dict(hist), Counter()
 
     def take(p, m):
-        need = Counter(p)
-        q = min([m, *(left.get(x, 0) // c for x, c in need.items())])
+        need = shape(p)[1]
+        q = min([m, *(left.get(x, 0) // c for x, c in need)])
         if q > 0:
             child[p] += q
-            for x, c in need.items():
+            for x, c in need:
                 left[x] -= q * c
 
-    best = sorted(b, key=lambda p: (-sum(p), p))
+    best = fullest_first(b)
     for p in best[: max(1, len(best) // 2)]:
         if rng.random() < 0.5:
             take(p, int(rng.integers(1, b[p] + 1)))
-    kept = sorted(a, key=lambda p: (-sum(p), p))
+    kept = fullest_first(a)
     for p in kept[: max(1, int(len(kept) * rng.uniform(0.6, 0.98)))]:
         take(p, a[p])
     return best_fit({x: n for x, n in left.items() if n > 0}, capacity, dict(child))
@@ -240,20 +252,23 @@ def evolve(hist: dict[int, int], capacity: int, seed: int, elites: list[Packing]
     """One epoch of one island: from packings of random order, children by crossover until one has the least bins that any
     packing can have. The plain best fit takes part only at the end, as what the island must not fall short of."""
     rng, least = np.random.default_rng(seed), least_bins(hist, capacity)
-    rank = lambda x: fitness(x, capacity)
+    ranked = lambda x: (fitness(x, capacity), x)
+    first_of = operator.itemgetter(0)
     people = list(elites)
     while len(people) < population:
         some = {x: int(rng.integers(0, n + 1)) for x, n in hist.items()}
         first = best_fit({x: n for x, n in some.items() if n}, capacity)
         people.append(best_fit({x: n - some[x] for x, n in hist.items() if n > some[x]}, capacity, first))
+    people = [*map(ranked, people)]  # a packing is measured once
     for _ in range(generations):
-        people.sort(key=rank, reverse=True)
+        people.sort(key=first_of, reverse=True)
         i = int(rng.integers(0, max(1, population // 2)))
         j = (i + 1 + int(rng.integers(0, population - 1))) % population if population > 1 else i
-        people[-1] = max(crossover(people[i], people[j], hist, capacity, rng), crossover(people[j], people[i], hist, capacity, rng), key=rank)
-        if bins(people[-1]) <= least:
+        a, b = people[i][1], people[j][1]
+        people[-1] = max(ranked(crossover(a, b, hist, capacity, rng)), ranked(crossover(b, a, hist, capacity, rng)), key=first_of)
+        if bins(people[-1][1]) <= least:
             break
-    return max([*people, best_fit(hist, capacity)], key=rank)
+    return max([*people, ranked(best_fit(hist, capacity))], key=first_of)[1]
 
 
 def pack(spark: SparkSession, hist: dict[int, int], capacity: int, islands: int = 4, epochs: int = 4, population: int = 12, generations: int = 30, seed: int = 7) -> Packing:
