@@ -122,6 +122,8 @@ _ROW = pa.schema([("p", pa.int32()), ("home", pa.int64()), ("data", pa.binary())
 ROW = "p int, home long, data binary"
 #: Bytes of text whose entries meet in one part.
 PART_BYTES = 16 << 20
+#: Places found that a task keeps before it packs them by home, beyond those of one part.
+PLACES = 1 << 20
 #: Documents whose places travel in one row.
 HOME = 64
 
@@ -196,23 +198,33 @@ def _deal(key: list[np.ndarray], part: np.ndarray, parts: int, homes: int, ids,
 
 def _meet(batches, settle: bool, homes: int):
     """Entries of a part meet, one part after the other: places of shared anchors, or of windows to cut, by home; settled rows pass."""
-    at_part, got = None, []
+    at_part, got, made = None, [], []
     for b in batches:
         entries = b.column(1).is_null()
         some = b.filter(entries)
         for p, data in zip(some.column(0).to_pylist(), some.column(2).to_pylist()):
             if p != at_part and got:
-                yield _met(got, settle, homes)
+                made.append(_met(got, settle))
                 got = []
+                if sum(len(x[0]) for x in made) > PLACES:
+                    yield _by_home(made, homes)
+                    made = []
             at_part = p
             got.append(_unpacked(data))
         if some.num_rows < b.num_rows:
             yield b.filter(pa.compute.invert(entries)).select(["home", "data"])
     if got:
-        yield _met(got, settle, homes)
+        made.append(_met(got, settle))
+    if made:
+        yield _by_home(made, homes)
 
 
-def _met(got: list, settle: bool, homes: int) -> pa.RecordBatch:
+def _by_home(made: list, homes: int) -> pa.RecordBatch:
+    """The places of several parts, one row a home."""
+    return _rows([], [], *_homes(*(np.concatenate(x) for x in zip(*made)), homes)).select(["home", "data"])
+
+
+def _met(got: list, settle: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = [np.concatenate(x) for x in zip(*(g[0] for g in got))]
     doc, v, at, known = (np.concatenate(x) for x in list(zip(*got))[1:])
     got.clear()
@@ -224,7 +236,7 @@ def _met(got: list, settle: bool, homes: int) -> pa.RecordBatch:
     else:
         take = doc[order] > lo
     order = order[take]
-    return _rows([], [], *_homes(doc[order], v[order], at[order], homes)).select(["home", "data"])
+    return doc[order], v[order], at[order]
 
 
 def _with_places(batches):
